@@ -12,13 +12,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from keystrata.llm.memo import Memo
 from keystrata.runtime import ship_package
 
 #: Words, pairs of tokens and prefixes of pieces that a worker remembers, some 100 MB of each.
@@ -27,27 +28,6 @@ PAIR_ENTRIES = 1 << 20
 PREFIX_ENTRIES = 1 << 20
 
 
-class Memo:
-    """A bounded memory of computed values: when the young generation is full it replaces the old one."""
-
-    def __init__(self, make: Callable, entries: int):
-        self._make, self._entries = make, entries
-        self.young: dict = {}
-        self._old: dict = {}
-
-    def find(self, key):
-        """The value of a key that the young generation lacks. Long keys are never kept."""
-        found = self._old.get(key)
-        if found is None:
-            found = self._make(key)
-        if len(key) <= 64:
-            if len(self.young) >= self._entries:
-                self._old = dict(self.young)
-                self.young.clear()
-            self.young[key] = found
-        return found
-
-
 def read_ranks(data: bytes) -> dict[bytes, int]:
     """A rank file: a base64 token and its rank on each line."""
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}

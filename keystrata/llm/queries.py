@@ -8,7 +8,8 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keystrata.llm import bpe
+from keystrata.llm import bpe, tokencount, tokenfiles
+from keystrata.runtime import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +20,18 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    tokenfiles.write_token_files(tokenfiles.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1), path)
+    return tokenfiles.summarize_token_files(spark, path)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
-    return {"op1_byte_bpe": op1_byte_bpe}
+    return {"op1_byte_bpe": op1_byte_bpe, "op4_token_files": op4_token_files, "op6_token_counts": op6_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
