@@ -8,7 +8,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keystrata.llm import bpe, tokencount, tokenfiles
+from keystrata.llm import bpe, jaccard, tokencount, tokenfiles
 from keystrata.runtime import scratch_path
 
 
@@ -20,6 +20,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     tokenfiles.write_token_files(tokenfiles.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1), path)
@@ -31,7 +35,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_byte_bpe": op1_byte_bpe, "op4_token_files": op4_token_files, "op6_token_counts": op6_token_counts}
+    return {"op1_byte_bpe": op1_byte_bpe, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_token_files": op4_token_files, "op6_token_counts": op6_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
