@@ -8,7 +8,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keystrata.llm import bpe, jaccard, tokencount, tokenfiles
+from keystrata.llm import bpe, jaccard, pii, tokencount, tokenfiles
 from keystrata.runtime import scratch_path
 
 
@@ -34,8 +34,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_byte_bpe": op1_byte_bpe, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_token_files": op4_token_files, "op6_token_counts": op6_token_counts}
+    return {"op1_byte_bpe": op1_byte_bpe, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_token_files": op4_token_files, "op6_token_counts": op6_token_counts, "op9_pii": op9_pii}
 
 
 def oracle_sql() -> dict[str, str]:
