@@ -25,7 +25,6 @@ but for the counters (1 MB) and one number for each round.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +34,12 @@ from pyspark.sql import functions as F
 
 from keystrata.llm.arrowtext import mix, shingles, sliced, text_bytes, words
 from keystrata.llm.components import connected_components
+from keystrata.llm.tables import sum_tables
 from keystrata.runtime import materialize, ship_package
 
 SHINGLE_WORDS = 5
 PERCENT = 80
 SKETCH_BITS = 20
-CHUNKS = 16
 SIGNATURE_WORDS = 8
 HUB_ROUNDS = 2
 
@@ -68,41 +67,15 @@ def _distinct(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def shingle_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Counts of all shingles of docs in 2^20 counters, as a class of magnitude (0 to 255) for each.
-
-    Each task counts in its own table and gives it in compressed chunks; chunks are added up in two
-    steps, so that no task takes in more than the square root of the number of tasks, times a constant.
-    What comes to the driver is 2^20 counters, whatever the input.
-    """
+    """Counts of all shingles of docs in 2^20 counters, as a class of magnitude (0 to 255) for each."""
     size = 1 << SKETCH_BITS
-    part = size // CHUNKS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(size, np.int64)
+    def fill(table: np.ndarray, batches: Iterator[pa.RecordBatch]) -> None:
         for batch in sliced(batches, text_col):
             hashes, _ = _sets(batch, 0)
             table += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
-        if table.any():
-            salt = int(np.random.default_rng(int(table[:4096].sum() % (1 << 31))).integers(0, 64))
-            packed = [zlib.compress(table[k * part : (k + 1) * part].tobytes(), 1) for k in range(CHUNKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([salt] * CHUNKS, pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "salt", "counts"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for k, salt, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts = np.frombuffer(zlib.decompress(packed), np.int64)
-                held[k, salt] = held[k, salt] + counts if (k, salt) in held else counts.copy()
-        if held:
-            keys = list(held)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([s for _, s in keys], pa.int32()), pa.array([zlib.compress(held[k].tobytes(), 1) for k in keys], pa.binary())], names=["chunk", "salt", "counts"])
-
-    schema = "chunk int, salt int, counts binary"
-    first = docs.select(text_col).mapInArrow(count, schema)
-    merged = first.repartition(64, "chunk", "salt").mapInArrow(add, schema)
-    total = np.zeros(size, np.int64)
-    for row in merged.toLocalIterator():
-        total[row["chunk"] * part : (row["chunk"] + 1) * part] += np.frombuffer(zlib.decompress(bytes(row["counts"])), np.int64)
+    total = sum_tables(docs.select(text_col), fill, size)
     return np.minimum(255, np.floor(4 * np.log2(total + 1))).astype(np.uint8)
 
 

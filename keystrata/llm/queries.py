@@ -6,9 +6,10 @@ import importlib.util
 import os
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keystrata.llm import bpe, jaccard, pii, tokencount, tokenfiles
+from keystrata.llm import bpe, jaccard, langid, pii, tokencount, tokenfiles, toxicity
 from keystrata.runtime import scratch_path
 
 
@@ -16,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(n: int) -> Column:
+    """The fold of a document: crc32 of its id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -34,12 +40,25 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, usable=remainder(4) != 2)
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=remainder(5) != 0)
+    scored = toxicity.score_documents(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {"op1_byte_bpe": op1_byte_bpe, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_token_files": op4_token_files, "op6_token_counts": op6_token_counts, "op9_pii": op9_pii}
+    return {"op1_byte_bpe": op1_byte_bpe, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_token_files": op4_token_files, "op6_token_counts": op6_token_counts, "op7_language_id": op7_language_id, "op9_pii": op9_pii, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
