@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm import bpe, jaccard, langid, pii, tokencount, tokenfiles, toxicity
+from keystrata.llm import bpe, decontam, jaccard, langid, pii, tokencount, tokenfiles, toxicity
 from keystrata.runtime import scratch_path
 
 
@@ -46,6 +46,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_byte_bpe": op1_byte_bpe, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_token_files": op4_token_files, "op6_token_counts": op6_token_counts, "op7_language_id": op7_language_id, "op9_pii": op9_pii, "op10_toxicity": op10_toxicity}
+    return {"op1_byte_bpe": op1_byte_bpe, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_token_files": op4_token_files, "op6_token_counts": op6_token_counts, "op7_language_id": op7_language_id, "op8_decontaminate": op8_decontaminate, "op9_pii": op9_pii, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
