@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm import bpe, decontam, jaccard, langid, pii, tokencount, tokenfiles, toxicity
+from keystrata.llm import bpe, decontam, jaccard, langid, media, pii, tokencount, tokenfiles, toxicity, urlfilter
 from keystrata.runtime import scratch_path
 
 
@@ -26,6 +26,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+URL_RULES = [urlfilter.Rule("block", "com/en/"), urlfilter.Rule("allow", "example.com/en/7"), urlfilter.Rule("allow", "net/de/"), urlfilter.Rule("block", "example.net/de/8"), urlfilter.Rule("block", "org/es/")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.judge(pages, URL_RULES, urlfilter.fit(pages, URL_RULES))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -36,6 +44,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.summarize_token_files(spark, path)
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -62,7 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_byte_bpe": op1_byte_bpe, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_token_files": op4_token_files, "op6_token_counts": op6_token_counts, "op7_language_id": op7_language_id, "op8_decontaminate": op8_decontaminate, "op9_pii": op9_pii, "op10_toxicity": op10_toxicity}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op3_ngram_jaccard, op4_token_files, op5_media, op6_token_counts, op7_language_id, op8_decontaminate, op9_pii, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
