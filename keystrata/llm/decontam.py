@@ -160,6 +160,27 @@ def _runs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[new], e[last]
 
 
+def _ranked_blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str) -> Iterator[Queries]:
+    """The benchmark in blocks of about BLOCK_BYTES, each with its windows' terms ranked by counts over docs."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).where("i is not null")
+    volume = items.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
+    blocks = max(1, -(-int(volume) // BLOCK_BYTES))
+    for block in range(blocks):
+        queries = Queries(sorted((r["i"], r["t"] or "") for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()))
+        shared = spark.sparkContext.broadcast(queries)
+
+        def fill(table: np.ndarray, batches: Iterator[pa.RecordBatch], shared=shared) -> None:
+            for batch in sliced(batches, text_col):
+                hashes, _, _, _ = words(*text_bytes(batch.column(0)), IS_WORD)
+                _, term = shared.value.lookup(hashes)
+                table[: len(shared.value.terms)] += np.bincount(term, minlength=len(shared.value.terms))
+
+        queries.rank(sum_tables(docs.select(text_col), fill, max(1, len(queries.terms))))
+        yield queries
+
+
 def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_words, hits (word intervals covered by occurring windows,
     as arrays of structs s, e), items (different ids of items with an occurring window) and near_items
@@ -172,24 +193,11 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     be unique then. Other columns are not read.
     """
     spark = docs.sparkSession
-    ship_package(spark)
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).where("i is not null")
-    volume = items.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
-    blocks = max(1, -(-int(volume) // BLOCK_BYTES))
     kind = dict(docs.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, n_words bigint, hits array<struct<s:bigint,e:bigint>>, items array<string>, near_items array<string>"
-    found = None
-    for block in range(blocks):
-        part = sorted((r["i"], r["t"] or "") for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect())
-        queries = Queries(part)
-
-        def fill(table: np.ndarray, batches: Iterator[pa.RecordBatch], shared=spark.sparkContext.broadcast(queries)) -> None:
-            for batch in sliced(batches, text_col):
-                hashes, _, _, _ = words(*text_bytes(batch.column(0)), IS_WORD)
-                _, term = shared.value.lookup(hashes)
-                table[: len(shared.value.terms)] += np.bincount(term, minlength=len(shared.value.terms))
-
-        queries.rank(sum_tables(docs.select(text_col), fill, max(1, len(queries.terms))))
+    found, blocks = None, 0
+    for queries in _ranked_blocks(docs, benchmark, text_col, item_col, item_text_col):
+        blocks += 1
 
         def run(batches: Iterator[pa.RecordBatch], shared=spark.sparkContext.broadcast(queries)) -> Iterator[pa.RecordBatch]:
             q = shared.value
@@ -222,6 +230,24 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     return found
 
 
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, in which no window of the benchmark occurs; rows with a null or
+    empty text stay. Each block of the benchmark is a filter after the one before: no shuffle, no join."""
+    out, place = docs, docs.columns.index(text_col)
+    for queries in _ranked_blocks(docs, benchmark, text_col, item_col, item_text_col):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=docs.sparkSession.sparkContext.broadcast(queries)) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches, text_col):
+                hashes, text, _, _ = words(*text_bytes(batch.column(place)), IS_WORD)
+                _, start, _, _ = Shard(shared.value, hashes, text).matches()
+                clean = np.ones(batch.num_rows, bool)
+                clean[text[start]] = False
+                yield batch.filter(pa.array(clean))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
 def hit_words(hits: F.Column) -> F.Column:
     """How many words a document's intervals cover together."""
     start = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("total"))
