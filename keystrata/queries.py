@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keystrata.functions.records import record_size, status
-from keystrata.operators import feed, resolve, rewrite, scan, stats, verify
+from keystrata.operators import bloom, feed, resolve, rewrite, scan, stats, verify
 from keystrata.plans import maintenance
+from keystrata.runtime import scratch_path
+from keystrata.sources import segments
+from keystrata.streaming import live
 
 NOW = 1706659200000000000
 SOON = 86_400_000_000_000
@@ -17,8 +22,12 @@ KEYS = ["user:000001", "user:000002", "user:000003", "user:000007", "user:000011
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a change log: errors delete the user's key, sign-ups expire after twelve hours."""
+    return as_log(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_log(events: DataFrame) -> DataFrame:
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return events.select(
         F.concat(F.lit("user:"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("key"),
         (F.col("event_id") + 1).alias("seq"),
         F.col("event_id").alias("pos"),
@@ -246,8 +255,8 @@ def expired_keys(spark, sf_dir):
 
 @query(f"{LATEST} SELECT key, expires_ns FROM latest WHERE {IS_LIVE} AND expires_ns <> 0 AND expires_ns <= {NOW + SOON}")
 def expiring_soon(spark, sf_dir):
-    live = resolve.live(event_log(spark, sf_dir).drop("value"), NOW)
-    return live.where((F.col("expires_ns") != 0) & (F.col("expires_ns") <= NOW + SOON)).select("key", "expires_ns")
+    alive = resolve.live(event_log(spark, sf_dir).drop("value"), NOW)
+    return alive.where((F.col("expires_ns") != 0) & (F.col("expires_ns") <= NOW + SOON)).select("key", "expires_ns")
 
 
 @query(f"WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY batch_id, key ORDER BY pos DESC) AS rn FROM log) SELECT batch_id, key, pos, rtype FROM r WHERE rn = 1")
@@ -348,6 +357,33 @@ def conversations_latest(spark, sf_dir):
     return resolve.latest(conversation_log(spark, sf_dir).select("key", "segment_id", "pos")).select("key", "pos")
 
 
+@query(f"WITH {LOG} SELECT segment_id, key, value, rtype, seq, expires_ns FROM log")
+def decode_segment(spark, sf_dir):
+    """Every record encoded into binary segments and decoded again."""
+    decoded = segments.decode(segments.encode(event_log(spark, sf_dir)), "strict")
+    return decoded.select("segment_id", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "rtype", "seq", "expires_ns")
+
+
+@query(f"{LATEST} SELECT key, segment_id, pos FROM latest")
+def stream_latest(spark, sf_dir):
+    """The same as index_latest, by a stream over the events."""
+    name = f"stream_latest_{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = live.latest_stream(as_log(spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")).select("key", "segment_id", "pos"))
+    run = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", scratch_path(spark, "stream")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+@query(f"WITH {LOG} SELECT count(DISTINCT key) AS probed, CAST(0 AS BIGINT) AS missed FROM log")
+def bloom_no_false_negative(spark, sf_dir):
+    """Every key of a segment must be found in the segment's filter."""
+    log = event_log(spark, sf_dir).select("segment_id", "key")
+    filters = bloom.build(log)
+    hits = bloom.probe(log.distinct(), filters)
+    return hits.agg(F.countDistinct("key").alias("probed"), F.count_if(~F.col("maybe")).alias("missed"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
