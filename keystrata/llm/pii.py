@@ -69,7 +69,7 @@ def mod97(text: Column) -> Column:
         value = F.ascii(c)
         return F.when(value >= 65, (rest * 100 + value - 55) % 97).otherwise((rest * 10 + value - 48) % 97)
 
-    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), step) == 1
+    return F.aggregate(F.split(turned, "(?<=.)(?=.)"), F.lit(0), step) == 1
 
 
 VALID = {
@@ -88,12 +88,14 @@ def _spans(kind: str, matches: Column, lengths: Column) -> Column:
         t = F.get(matches, i)
         s = state["pos"] + F.get(lengths, i)
         e = s + F.length(t)
-        return F.struct(e.alias("pos"), F.concat(state["out"], F.array(F.struct(s.alias("s"), e.alias("e"), t.alias("t")))).alias("out"))
+        # Only what passes is kept, so texts with very many matches that fail take linear time.
+        grown = F.concat(state["out"], F.array(F.struct(s.alias("s"), e.alias("e"), t.alias("t"))))
+        return F.struct(e.alias("pos"), F.when(VALID[kind](t), grown).otherwise(state["out"]).alias("out"))
 
     empty = F.array().cast(f"array<{SPAN}>")
     start = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
     placed = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, place, lambda state: state["out"])
-    return F.when(F.size(matches) > 0, F.filter(placed, lambda x: VALID[kind](x["t"]))).otherwise(empty)
+    return F.when(F.size(matches) > 0, placed).otherwise(empty)
 
 
 def find_spans(docs: DataFrame, text_col: str = "text", into: str = "pii_spans") -> DataFrame:
