@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm import bpe, decontam, jaccard, pii, toxicity
+from keystrata.llm.idfilter import mark_likely
 from keystrata.llm.queries import remainder, table
 from keystrata.runtime import materialize
 
@@ -22,9 +23,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group; of rows that share an id, one. Texts without words are no duplicates."""
-    kept = jaccard.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The document of the smallest id of each group; of rows that share an id, one. Texts without words are no duplicates.
+
+    Texts of documents that cannot be among the dropped ones stay where they are; only the others are
+    shuffled to be told apart.
+    """
+    groups = materialize(jaccard.jaccard_components(docs), "groups")
+    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    marked = mark_likely(docs, materialize(dropped.union(repeated).distinct(), "doubtful"), "doc_id", "__doubtful")
+    doubtful = marked.where("__doubtful").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return marked.where("not __doubtful").unionByName(doubtful).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
