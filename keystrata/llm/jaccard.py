@@ -9,13 +9,16 @@ The plan, all of it distributed:
    each of these shingles and of its size band and the one above. The order puts frequent shingles
    last, by counts in a fixed table of 2^20 counters taken over the whole corpus, so that a passage
    that very many documents share opens no tile of its own unless documents consist of it.
-3. Within a tile, sets are first held against the tile's smallest id only, a number of pairs that
-   grows with the tile and not with its square. Their links join sets to components. Only tiles that
-   then still hold more than one component go on to pairs, and only to pairs between components, by
-   rounds: each component of a tile is represented, and what is left is compared in full.
+3. Shingles that two or three sets share give their pairs at once. Within larger tiles, sets are first
+   held against two of the tile's sets only, a number of pairs that grows with the tile and not with its
+   square. Their links join sets to components. Only tiles that then still hold more than one component
+   go on, first to one more such round, then to pairs of sets of different components. Pairs within a
+   component are not decided, as they could add nothing to it.
 4. A pair is first bounded from above: each set has a signature of 512 parity bits, every differing
-   bit stands for an element of one set only, so the bit count of the XOR bounds the overlap. Pairs
-   that pass are decided exactly, on the intersection of the whole sorted arrays.
+   bit stands for an element of one set only, so the bit count of the XOR bounds the overlap. The bound
+   is part of the join of the tiles, so pairs that fail it are never made. Signatures of two bits an
+   element bound the pairs that pass once more, and those left are decided exactly, on the intersection
+   of the whole sorted arrays.
 5. Components come from alternating large-star and small-star rounds over the links.
 
 No partner or candidate is capped, and nothing that grows with the data is broadcast or collected,
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 
 from keystrata.llm.arrowtext import mix, shingles, sliced, text_bytes, words
 from keystrata.llm.components import connected_components
+from keystrata.llm.idfilter import keep_likely
 from keystrata.llm.tables import sum_tables
 from keystrata.runtime import materialize, ship_package
 
@@ -42,6 +46,7 @@ PERCENT = 80
 SKETCH_BITS = 20
 SIGNATURE_WORDS = 8
 HUB_ROUNDS = 2
+SIGNATURE = [f"s{k}" for k in range(SIGNATURE_WORDS)]
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -95,7 +100,6 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
 def featurize(docs: DataFrame, frequencies: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """(id, n, h1, h2, tokens, s0..s7): set size, 128-bit digest of the set, its rarest shingles, its signature."""
     shared = docs.sparkSession.sparkContext.broadcast(frequencies)
-    signature = [f"s{k}" for k in range(SIGNATURE_WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -121,21 +125,47 @@ def featurize(docs: DataFrame, frequencies: np.ndarray, id_col: str, text_col: s
             tokens = np.concatenate(chosen) if chosen else np.zeros(0, np.uint64)
             columns = [batch.column(0), pa.array(n), _longs(h1), _longs(h2), _lists(tokens, np.concatenate(([0], np.cumsum(wanted))))]
             columns += [pa.array(np.ascontiguousarray(packed[:, k])) for k in range(SIGNATURE_WORDS)]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n", "h1", "h2", "tokens", *signature])
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n", "h1", "h2", "tokens", *SIGNATURE])
 
-    schema = f"`{id_col}` bigint, n bigint, h1 bigint, h2 bigint, tokens array<bigint>, " + ", ".join(f"{s} bigint" for s in signature)
+    schema = f"`{id_col}` bigint, n bigint, h1 bigint, h2 bigint, tokens array<bigint>, " + ", ".join(f"{s} bigint" for s in SIGNATURE)
     return docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col).mapInArrow(run, schema)
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, elements): whole shingle sets as sorted arrays."""
+    """(id, n, wide, elements): whole shingle sets as sorted arrays, and signatures of 2n parity bits or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_col):
             values, offsets = _distinct(*_sets(batch, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(values, offsets)], names=[id_col, "elements"])
+            n = np.diff(offsets)
+            wide = []
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                bits = max(512, 1 << (2 * (b - a) - 1).bit_length()) if b > a else 512
+                parity = np.bincount((values[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                wide.append(np.packbits(parity.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(wide, pa.binary()), _lists(values, offsets)], names=[id_col, "n", "wide", "elements"])
+
+    return docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col).mapInArrow(run, f"`{id_col}` bigint, n bigint, wide binary, elements array<bigint>")
+
+
+def _bounded(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb, wa, wb) that the wide signatures allow to link. A signature folded to half its
+    width, its halves XORed, is the signature of that width, so the wider one is folded to the other's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, wa, wb in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                x, y = np.frombuffer(wa, np.uint8), np.frombuffer(wb, np.uint8)
+                while len(x) > len(y):
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                while len(y) > len(x):
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                differing = int(np.bitwise_count(x ^ y).sum())
+                keep.append((100 + PERCENT) * (na + nb - differing) >= 2 * PERCENT * (na + nb))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col).mapInArrow(run, f"`{id_col}` bigint, elements array<bigint>")
+    return pairs.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a bigint, b bigint")
 
 
 def _intersections(pairs: DataFrame) -> DataFrame:
@@ -157,21 +187,34 @@ def _intersections(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "ea", "eb").mapInArrow(run, "a bigint, b bigint")
 
 
-def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """The linked ones among different pairs (a, b) of representatives."""
-    signature = [f"s{k}" for k in range(SIGNATURE_WORDS)]
-    light = reps.select("rep", "n", *signature)
-    left = light.select(F.col("rep").alias("a"), F.col("n").alias("na"), *[F.col(s).alias("x" + s) for s in signature])
-    right = light.select(F.col("rep").alias("b"), F.col("n").alias("nb"), *[F.col(s).alias("y" + s) for s in signature])
-    differing = sum((F.bit_count(F.col("x" + s).bitwiseXOR(F.col("y" + s))) for s in signature), F.lit(0))
-    # overlap <= (na + nb - differing) / 2, and a link needs overlap >= PERCENT / (100 + PERCENT) * (na + nb)
-    possible = (100 + PERCENT) * (F.col("na") + F.col("nb") - differing) >= 2 * PERCENT * (F.col("na") + F.col("nb"))
-    near = materialize(pairs.join(left, "a").join(right, "b").where(possible).select("a", "b"), f"{name}-candidates")
-    wanted = near.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
-    # One text for each id, should an id be repeated: sets of equal ids are one document's.
-    involved = docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col).join(wanted.hint("shuffle_hash"), id_col, "left_semi")
+def _possible(a: str, b: str) -> F.Column:
+    """Whether sizes n and signatures of two sets (columns with these prefixes) allow a link.
+
+    overlap <= (na + nb - differing bits) / 2, and a link needs overlap >= PERCENT / (100 + PERCENT) * (na + nb).
+    """
+    na, nb = F.col(a + "n"), F.col(b + "n")
+    differing = sum((F.bit_count(F.col(a + s).bitwiseXOR(F.col(b + s))) for s in SIGNATURE), F.lit(0))
+    return _sizes_fit(na, nb) & ((100 + PERCENT) * (na + nb - differing) >= 2 * PERCENT * (na + nb))
+
+
+def _sizes_fit(na: F.Column, nb: F.Column) -> F.Column:
+    return (100 * na >= PERCENT * nb) & (100 * nb >= PERCENT * na)
+
+
+def _renamed(light: DataFrame, side: str) -> DataFrame:
+    return light.select(*[F.col(c).alias(side + c) for c in light.columns])
+
+
+def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """The linked ones among different pairs (a, b) of representatives, by their whole sets. Only the
+    sets of documents in pairs are made, in a scan that lets others pass by."""
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct(), f"{name}-ids")
+    involved = keep_likely(docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col), wanted, id_col)
     sets = materialize(full_sets(involved, id_col, text_col), f"{name}-sets")
-    full = near.join(sets.select(F.col(id_col).alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col(id_col).alias("b"), F.col("elements").alias("eb")), "b")
+    # Wide signatures are a thirtieth of the sets; sets are joined for the pairs that these leave.
+    wide = lambda c: sets.select(F.col(id_col).alias(c), F.col("n").alias("n" + c), F.col("wide").alias("w" + c))
+    pairs = materialize(_bounded(pairs.join(wide("a"), "a").join(wide("b"), "b")).distinct(), f"{name}-bounded")
+    full = pairs.join(sets.select(F.col(id_col).alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col(id_col).alias("b"), F.col("elements").alias("eb")), "b")
     return materialize(_intersections(full).distinct(), f"{name}-links")
 
 
@@ -188,38 +231,61 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ship_package(docs.sparkSession)
     features = materialize(featurize(docs, shingle_frequencies(docs, text_col), id_col, text_col), "features")
     some = features.where("n > 0")
-    classes = some.groupBy("n", "h1", "h2").agg(F.min(id_col).alias("rep"))
-    membership = materialize(some.select(id_col, "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).select(id_col, "n", "h1", "h2", "rep"), "members")
-    key = ["n", "h1", "h2", id_col]
-    reps = materialize(some.join(classes.withColumnRenamed("rep", id_col), key, "left_semi").dropDuplicates([id_col]).withColumnRenamed(id_col, "rep"), "reps")
-
-    # Most shingles are one document's own: only those of two sets or more open tiles.
-    tokens = reps.select("rep", "n", F.explode("tokens").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("token")
+    key = ["n", "h1", "h2"]
+    classes = materialize(some.groupBy(*key).agg(F.min(id_col).alias("rep")), "classes")
+    membership = materialize(some.select(id_col, *key).join(classes, key).select(id_col, *key, "rep").distinct(), "members")
+    reps = materialize(some.select(id_col, *key, *SIGNATURE).join(classes.withColumnRenamed("rep", id_col), [*key, id_col], "left_semi").dropDuplicates([id_col]).select(F.col(id_col).alias("rep"), "n", *SIGNATURE), "reps")
+
+    # Tokens of representatives (a few copies may pass: their links are their class's links as well).
+    listed = keep_likely(some.select(id_col, "n", "tokens"), classes.select("rep"), id_col)
+    tokens = listed.select(F.col(id_col).alias("rep"), "n", F.explode("tokens").alias("token"))
+    # Most shingles are one document's own. Of those that two or three share, the smallest, the largest
+    # and the XOR of all ids name every holder, and so every pair, without a join.
+    holders = tokens.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bit_xor("rep").alias("x"), F.count("*").alias("c"))
+    holders = materialize(holders.where("lo <> hi"), "holders")
+    middle = F.col("lo").bitwiseXOR(F.col("hi")).bitwiseXOR(F.col("x"))
+    few = holders.where("c <= 3").select("lo", "hi", F.when(F.col("c") == 3, middle).otherwise(F.col("lo")).alias("mid")).distinct()
+    few = few.select(F.explode(F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in (("lo", "hi"), ("lo", "mid"), ("mid", "hi"))])).alias("p")).select(F.least("p.u", "p.v").alias("a"), F.greatest("p.u", "p.v").alias("b")).where("a <> b")
+
     # Size bands grow by the similarity, so partners lie in the same band or a neighbouring one.
+    many = holders.where("c > 3").select("token")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT) + 1e-9).cast("int")
-    tile = F.explode(F.array(band, band + 1)).alias("band")
-    posted = materialize(tokens.join(shared, "token").select("token", "rep", "n", tile), "tiles")
+    posted = keep_likely(tokens, many, "token").join(many, "token", "left_semi").select("token", "rep", "n", F.explode(F.array(band, band + 1)).alias("band")).join(reps.select("rep"), "rep", "left_semi").distinct()
+    tiles = materialize(posted, "tiles").withColumn("component", F.col("rep"))
 
-    known = None  # (rep, component) so far; without a row a set is alone
-    found = None
+    found = known = waiting = None
     for turn in range(HUB_ROUNDS + 1):
-        if known is None:
-            tiles = posted.withColumn("component", F.col("rep"))
-        else:
-            tiles = posted.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        spread = tiles.groupBy("token", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("component", "rep", "n")).alias("hub"), F.max(F.struct("component", "rep", "n")).alias("far")).where("lo <> hi")
+        # Of each tile, whether it still holds different components, and two sets to hold the others
+        # against; held so, a tile of three sets is done.
+        at = F.struct("component", "rep", "n")
+        spread = tiles.groupBy("token", "band").agg(F.min(at).alias("hub"), F.max(at).alias("far"), F.count("*").alias("members")).where("hub.component <> far.component")
+        if turn:
+            spread = spread.where("members > 3")
         mixed = tiles.join(spread, ["token", "band"])
         if turn < HUB_ROUNDS:
+            mixed = materialize(mixed, f"mixed{turn}")
             hubs = mixed.select("rep", "n", "component", F.explode(F.array("hub", "far")).alias("other"))
-            pairs = hubs.where("component <> other.component").select("rep", "n", F.col("other.rep").alias("rep2"), F.col("other.n").alias("n2"))
+            near = hubs.where("component <> other.component").where(_sizes_fit(F.col("n"), F.col("other.n")))
+            near = near.select(F.least("rep", "other.rep").alias("a"), F.greatest("rep", "other.rep").alias("b"))
+            near = (near if turn else near.union(few)).distinct()
+            near = near.join(_renamed(reps, "x").withColumnRenamed("xrep", "a"), "a").join(_renamed(reps, "y").withColumnRenamed("yrep", "b"), "b").where(_possible("x", "y"))
         else:
-            mixed = materialize(mixed.select("token", "band", "rep", "n", "component"), "mixed")
-            other = mixed.select("token", "band", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-            pairs = mixed.join(other, ["token", "band"]).where("rep < rep2 and component <> component2 and 100 * n >= %d * n2 and 100 * n2 >= %d * n" % (PERCENT, PERCENT))
-        pairs = pairs.where("100 * n >= %d * n2 and 100 * n2 >= %d * n" % (PERCENT, PERCENT)).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-        links = verify(pairs, reps, docs, id_col, text_col, f"round{turn}")
+            last = materialize(mixed.select("token", "band", "rep", "component").join(reps, "rep"), "mixed")
+            condition = (F.col("xtoken") == F.col("ytoken")) & (F.col("xband") == F.col("yband")) & (F.col("xrep") < F.col("yrep")) & (F.col("xcomponent") != F.col("ycomponent")) & _possible("x", "y")
+            near = _renamed(last, "x").join(_renamed(last, "y"), condition).select(F.col("xrep").alias("a"), F.col("yrep").alias("b")).distinct()
+        near = materialize(near.select("a", "b"), f"near{turn}")
+        if not turn:
+            # In a group of near copies most pairs link. One pair for each set comes first; the others are
+            # looked at in the next round, where they can still join two components.
+            waiting, near = near, near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        elif turn == 1:
+            side = lambda c: known.select(F.col("rep").alias(c), F.col("component").alias("c" + c))
+            open_pairs = waiting.join(side("a"), "a", "left").join(side("b"), "b", "left").where("ca is null or cb is null or ca <> cb")
+            near = near.union(open_pairs.select("a", "b")).distinct()
+        links = verify(near, docs, id_col, text_col, f"round{turn}")
         found = links if found is None else found.union(links)
-        known = materialize(connected_components(found).select(F.col("node").alias("rep"), "component"), "known")
-    out = features.select(id_col, "n", "h1", "h2").join(membership.dropDuplicates(), [id_col, "n", "h1", "h2"], "left").join(known, "rep", "left")
+        known = connected_components(found).select(F.col("node").alias("rep"), "component")
+        if turn < HUB_ROUNDS:
+            tiles = mixed.where("members > 3").select("token", "band", "rep", "n").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    out = features.select(id_col, *key).join(membership, [id_col, *key], "left").join(known, "rep", "left")
     return out.select(id_col, F.col("n").alias("n_shingles"), F.coalesce("component", "rep", F.col(id_col)).alias("component_id"))

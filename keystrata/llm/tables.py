@@ -17,8 +17,8 @@ def sum_tables(source: DataFrame, fill: Callable[[np.ndarray, Iterator[pa.Record
     """The sum over all tasks of source of the int64 tables that fill(table, batches) makes.
 
     Each task gives its table in compressed chunks. These are added up by (chunk, salt) in streams, so
-    a task holds a few chunks however many there are, and what comes to the driver is at most SALTS
-    tables of `size` counters, one chunk after another, whatever the input.
+    a task holds a few chunks however many there are, and then by chunk, of which at most SALTS each are
+    left. What comes to the driver is one table of `size` counters, whatever the input.
     """
     part = -(-size // CHUNKS)
 
@@ -40,7 +40,7 @@ def sum_tables(source: DataFrame, fill: Callable[[np.ndarray, Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([0] * len(held), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in held.values()], pa.binary())], names=["chunk", "salt", "counts"])
 
     schema = "chunk int, salt int, counts binary"
-    merged = source.mapInArrow(count, schema).repartition(SALTS, "chunk", "salt").mapInArrow(add, schema)
+    merged = source.mapInArrow(count, schema).repartition(SALTS, "chunk", "salt").mapInArrow(add, schema).repartition(CHUNKS, "chunk").mapInArrow(add, schema)
     total = np.zeros(part * CHUNKS, np.int64)
     for row in merged.collect():
         total[row["chunk"] * part : (row["chunk"] + 1) * part] += np.frombuffer(zlib.decompress(bytes(row["counts"])), np.int64)
