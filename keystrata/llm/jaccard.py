@@ -46,6 +46,8 @@ PERCENT = 80
 SKETCH_BITS = 20
 SIGNATURE_WORDS = 8
 HUB_ROUNDS = 2
+#: Bits of a wide signature at most: enough to turn away unlike sets of up to some 18,000 shingles.
+WIDEST = 8192
 SIGNATURE = [f"s{k}" for k in range(SIGNATURE_WORDS)]
 
 IS_WORD = np.ones(256, bool)
@@ -132,7 +134,7 @@ def featurize(docs: DataFrame, frequencies: np.ndarray, id_col: str, text_col: s
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, wide, elements): whole shingle sets as sorted arrays, and signatures of 2n parity bits or more."""
+    """(id, n, wide, elements): whole shingle sets as sorted arrays, and signatures of 2n parity bits or more, up to WIDEST."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_col):
@@ -140,7 +142,7 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             n = np.diff(offsets)
             wide = []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                bits = max(512, 1 << (2 * (b - a) - 1).bit_length()) if b > a else 512
+                bits = min(WIDEST, max(512, 1 << (2 * (b - a) - 1).bit_length())) if b > a else 512
                 parity = np.bincount((values[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
                 wide.append(np.packbits(parity.astype(np.uint8)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(wide, pa.binary()), _lists(values, offsets)], names=[id_col, "n", "wide", "elements"])
