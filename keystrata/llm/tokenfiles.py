@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm.arrowtext import sliced
-from keystrata.llm.memo import Memo
 from keystrata.runtime import ship_package
 
-MEMO_ENTRIES = 1 << 19
+MEMO_ENTRIES = 400_000
+JOINED_WORDS = 4096
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 1000
 
@@ -44,15 +44,38 @@ class WordEncoder:
         parts = [i for w in _cut(trial) for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
         if whole != parts:
             raise ValueError("this tokenizer's tokens depend on white space, so texts cannot be cut there")
-        self.memo = Memo(self._missing, MEMO_ENTRIES)
-
-    def _missing(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.int32).tobytes()
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def _fresh(self, words: list[str]) -> None:
+        """Learn the ids of words: many are encoded as one text and told apart by where their tokens begin."""
+        for at in range(0, len(words), JOINED_WORDS):
+            part = words[at : at + JOINED_WORDS]
+            encoding = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(encoding.ids, np.int32)
+            begins = np.array([b for b, _ in encoding.offsets], np.int64)
+            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+            cuts = np.searchsorted(begins, starts).tolist()
+            self._young.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as the bytes of 32-bit integers."""
+        if len(self._young) > MEMO_ENTRIES:  # the young generation takes the old one's place
+            self._old, self._young = self._young, {}
+        young, old = self._young, self._old
+        cuts = [_cut(t) for t in texts]
+        missing = {w for c in cuts for w in c if w not in young}
+        known = {w: old[w] for w in missing if w in old}
+        young.update(known)
+        self._fresh([w for w in missing if w not in known])
+        out = [b"".join(map(young.__getitem__, c)) for c in cuts]
+        for w in missing:
+            if len(w) > 64:
+                del young[w]
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        known, find = self.memo.young.get, self.memo.find
-        parts = [found if (found := known(w)) is not None else find(w) for w in _cut(text)]
-        return np.frombuffer(b"".join(parts), np.int32)
+        return np.frombuffer(self.encode_all([text])[0], np.int32)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -78,7 +101,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
         encoder = _encoder(shared.value)
         end = np.array([end_id], np.int32)
         for batch in sliced(batches, text_col):
-            ids = [np.concatenate((encoder.encode(t or ""), end)) for t in batch.column(1).to_pylist()]
+            found = encoder.encode_all([t or "" for t in batch.column(1).to_pylist()])
+            ids = [np.concatenate((np.frombuffer(f, np.int32), end)) for f in found]
             sizes = np.array([len(i) for i in ids], np.int64)
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
@@ -87,17 +111,17 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens bigint, ids array<int>")
 
 
-def write_token_files(encoded: DataFrame, path: str, id_col: str = "doc_id", files: int | None = None, encoding: str = "dictionary", codec: str = "zstd") -> None:
+def write_token_files(encoded: DataFrame, ids: DataFrame, path: str, id_col: str = "doc_id", files: int | None = None, encoding: str = "dictionary", codec: str = "zstd") -> None:
     """Write (id, n_tokens, ids) in ascending order of ids to `files` Parquet files.
 
-    The bounds between files are quantiles of the id column alone, so the tokens are computed once and
-    shuffled once. Each file holds about as many documents as any other; a file's rows also carry its
+    The bounds between files are quantiles of the ids (a frame that has the same id column, such as the
+    documents), so the tokens are computed once and shuffled once. Each file holds about as many documents as any other; a file's rows also carry its
     number as `part`. Only the bounds, one for each file, come to the driver. Null ids come first.
     """
     spark = encoded.sparkSession
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = [k / files for k in range(1, files)]
-    bounds = (encoded.select(id_col).agg(F.percentile_approx(id_col, shares, 100 * files).alias("b")).first()["b"] if shares else None) or []
+    bounds = (ids.select(id_col).agg(F.percentile_approx(id_col, shares, 100 * files).alias("b")).first()["b"] if shares else None) or []
     part = F.lit(0)
     if bounds := sorted(set(bounds)):
         # The number of bounds below an id, by bisection, so that the expression is as deep as log2 of the files.
