@@ -25,8 +25,9 @@ BITS = 20
 #: Bounds of what the classifier is fitted on: labelled texts of a class, those of the lowest hashes of
 #: their ids, and n-grams, those whose ratio is the surest.
 MAX_TEXTS_PER_CLASS = 5000
-MAX_FEATURES = 20000
-LEAST_Z = 5.0
+MAX_FEATURES = 100_000
+#: Of an n-gram's likelihood-ratio test against chance (chi-squared of one degree), at every number of texts.
+LEAST_G = 10.83
 LEAST_RATIO = 1.0
 
 
@@ -48,6 +49,17 @@ def _presence(batch: pa.RecordBatch, column: int, wanted: np.ndarray | None) ->
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
+def _surprise(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """G of each n-gram's presence in so many of the toxic and of the clean texts; a count of 0 is evidence as any other."""
+    share = (toxic + clean) / (n_toxic + n_clean)
+    g = np.zeros(len(toxic))
+    for counts, n in ((toxic, n_toxic), (clean, n_clean)):
+        for seen, expected in ((counts, n * share), (n - counts, n * (1 - share))):
+            some = seen > 0
+            g[some] += 2 * seen[some] * np.log(seen[some] / expected[some])
+    return g
+
+
 def _logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, weight: np.ndarray, n_columns: int, l2: float = 1.0, rounds: int = 150) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on sparse entries, by Adam on all rows."""
     theta, m, v = np.zeros(n_columns + 1), np.zeros(n_columns + 1), np.zeros(n_columns + 1)
@@ -98,10 +110,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return constant
     p, q = table[size : 2 * size] + 0.5, table[:size] + 0.5
     ratio = np.log(p / (n1s + 1.0)) - np.log(q / (n0s + 1.0))
-    z = ratio / np.sqrt(1 / p + 1 / q)
-    least = LEAST_Z if n1s >= 200 else 2.0
-    candidates = np.flatnonzero((np.abs(z) >= least) & (np.abs(ratio) >= LEAST_RATIO))
-    candidates = candidates[np.argsort(-np.abs(z[candidates]), kind="stable")[:MAX_FEATURES]]
+    surprise = _surprise(table[size : 2 * size], table[:size], n1s, n0s)
+    candidates = np.flatnonzero((surprise >= LEAST_G) & (np.abs(ratio) >= LEAST_RATIO))
+    candidates = candidates[np.argsort(-surprise[candidates], kind="stable")[:MAX_FEATURES]]
     if not len(candidates):
         return constant
     place = np.full(size, -1, np.int32)

@@ -193,6 +193,19 @@ def test_toxicity_learnt_and_held_out(spark, docs, no_docs):
         assert toxicity.score_documents(docs, toxicity.fit(docs, some)).where("score between 0 and 1").count() == docs.count()
 
 
+def test_toxicity_learns_what_few_of_many_toxic_texts_have(spark):
+    rng = random.Random(8)
+    plain = [f"word{rng.randint(0, 300)}" for _ in range(400)]
+    text = lambda *more: " ".join([*rng.choices(plain, k=20), *more, *rng.choices(plain, k=20)])
+    toxic = [text("zorkblat") for _ in range(6)] + [text("nasty") for _ in range(294)]
+    rows = list(enumerate(toxic + [text() for _ in range(900)]))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.fit(frame, spark.createDataFrame([(i, int(i < 300)) for i, _ in rows], "doc_id bigint, toxic int"))
+    asked = [text("zorkblat") for _ in range(20)] + [text() for _ in range(20)]
+    got = [r["score"] >= 0.5 for r in toxicity.score_documents(spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string"), model).orderBy("doc_id").collect()]
+    assert sum(got[:20]) >= 18 and sum(got[20:]) <= 1
+
+
 def test_likely_keys_keep_all_that_are_asked_for(spark):
     rows = spark.range(5000).withColumnRenamed("id", "k")
     asked = spark.range(0, 5000, 50)
