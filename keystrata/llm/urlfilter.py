@@ -181,7 +181,7 @@ def fit(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> Model:
     url = F.col(url_col)
     host, path = url_host(url), url_path(url)
     _, action = decided(rules, host, path)
-    examples = pages.select(action.alias("action"), F.concat(host, path).alias("u"), F.pmod(F.xxhash64(url), F.lit(10)).alias("tenth")).where("action is not null")
+    examples = pages.select(action.alias("action"), F.coalesce(url, F.lit("")).alias("u"), F.pmod(F.xxhash64(url), F.lit(10)).alias("tenth")).where("action is not null")
     counts = _count(examples.where(F.col("tenth") < COUNTED_TENTHS))
     model = Model(Markov(counts["allow"]), Markov(counts["block"]), 0.0)
     held = _scores(examples.where(F.col("tenth") >= COUNTED_TENTHS), model, "u", "d")
@@ -196,16 +196,16 @@ def fit(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> Model:
 def judge(pages: DataFrame, rules: list[Rule], model: Model, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """id, host, path, rule, verdict and score of each row of pages.
 
-    A null URL, or one without ://, has an empty host and path; no rule fits it, and the models judge the
-    empty text. Scores from the threshold on are allowed. Without examples of a kind its model is
+    The models judge the whole URL, a null one as empty. A null URL, or one without ://, has an empty host
+    and path, and no rule fits it. Scores from the threshold on are allowed. Without examples of a kind its model is
     uniform; without any, every URL scores 0 and is allowed. Repeated rows give repeated results; other
     columns are not read.
     """
     ship_package(pages.sparkSession)
     url = F.col(url_col)
-    split = pages.select(F.col(id_col), url_host(url).alias("host"), url_path(url).alias("path"))
+    split = pages.select(F.col(id_col), url_host(url).alias("host"), url_path(url).alias("path"), F.coalesce(url, F.lit("")).alias("u"))
     rule, action = decided(rules, F.col("host"), F.col("path"))
-    ruled = split.select(id_col, "host", "path", rule.alias("rule"), action.alias("action"), F.concat("host", "path").alias("u"))
+    ruled = split.select(id_col, "host", "path", rule.alias("rule"), action.alias("action"), "u")
     scored = _scores(ruled, model, "u", "score")
     method = F.when(F.col("score") >= model.threshold, "allow").otherwise("block")
     return scored.select(id_col, "host", "path", "rule", F.coalesce("action", method).alias("verdict"), "score")

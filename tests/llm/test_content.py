@@ -45,6 +45,19 @@ def test_models_tell_unruled_urls_apart(spark):
     assert got[:50].count("allow") >= 48 and got[50:].count("block") >= 48
 
 
+def test_whole_urls_are_judged(spark):
+    rng = random.Random(2)
+    name = lambda s: "".join(rng.choice(s) for _ in range(9))
+    rows = [f"http://good.org/a?q={name('aeiou')}" for _ in range(300)] + [f"http://bad.org/a?q={name('xzqwk')}" for _ in range(300)]
+    rules = [urlfilter.Rule("allow", "good.org/"), urlfilter.Rule("block", "bad.org/")]
+    new = [f"http://other.org/a{mark}{name(s)}" for s in ("aeiou", "xzqwk") for mark in ("?q=", "#") for _ in range(20)] + ["www.x/aeiouaeiou", "www.x/xzqwkxzqwk", None]
+    frame, asked = (spark.createDataFrame(list(enumerate(x)), "page_id bigint, url string") for x in (rows, new))
+    got = urlfilter.judge(asked, rules, urlfilter.fit(frame, rules)).orderBy("page_id").collect()
+    verdicts = [r["verdict"] for r in got]
+    assert verdicts[:40].count("allow") >= 38 and verdicts[40:80].count("block") >= 38
+    assert got[80]["score"] > got[81]["score"] and len({r["score"] for r in got[80:]}) == 3 and all((r["host"], r["path"]) == ("", "") for r in got[80:])
+
+
 def test_model_is_a_distribution():
     m = urlfilter.Markov({b"": (4, {97: 3, 98: 1}), b"a": (2, {98: 2})})
     for context in (b"", b"a", b"b", b"zza"):
