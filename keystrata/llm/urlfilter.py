@@ -3,7 +3,11 @@
 URLs that a rule decides are examples of accepted and rejected ones. From each kind a variable-order
 Markov model of characters is counted over all of them; a character's probability is interpolated from
 the longest known context down (Witten-Bell). A URL is judged by the difference of its two
-log-likelihoods, divided by its length, against a threshold set on examples that were not counted.
+log-likelihoods, divided by its length, against a threshold set on examples that were not counted then.
+
+The models are a table of grams (a context and the character after it) that grows with the examples.
+It is joined to the different grams of the URLs to be judged, an order at a time; only the frequent of
+these, of a bounded number, are broadcast, and the others are joined to the URLs that have them.
 """
 
 from __future__ import annotations
@@ -17,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.runtime import ship_package
+from keystrata.runtime import materialize, ship_package
 
 ORDER = 5
-#: A context is kept if at least one in so many characters of its kind follows it, so each order has at
-#: most so many contexts, however many URLs there are: the proven bound of the models that are broadcast.
-CONTEXT_SHARE = 20_000
-#: Of ten examples, how many are counted; the threshold is set on the others.
+#: A gram is frequent if at least one in so many characters to be judged is its last: there are at most so
+#: many frequent ones, the proven bound of what is broadcast, and no key of the join of others is hot.
+FREQUENT_SHARE = 20_000
+#: Log-ratios are added up as whole numbers of this fraction, so that their order makes no difference.
+UNIT = 1 << 32
+#: Of ten examples, how many are counted to set the threshold on the others, which are then counted as well.
 COUNTED_TENTHS = 8
 BIN = 0.005
 BINS = 4000
@@ -63,7 +69,8 @@ def decided(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Colu
 
 
 class Markov:
-    """Interpolated character probabilities: contexts maps a context to (total, {character: count})."""
+    """Interpolated character probabilities: contexts maps a context to (total, {character: count}).
+    The plain form of what _ratios computes on tables."""
 
     def __init__(self, contexts: dict[bytes, tuple[int, dict[int, int]]]):
         self.contexts = contexts
@@ -96,64 +103,96 @@ class Markov:
 
 @dataclass
 class Model:
-    accepted: Markov
-    rejected: Markov
+    grams: DataFrame  # gram (a context of up to ORDER bytes and the byte after it), allow, block: how often in each kind
     threshold: float
 
-    def score(self, text: str) -> float:
-        data = text.encode()
-        return (self.accepted.log_likelihood(data) - self.rejected.log_likelihood(data)) / (len(data) + 1)
-
 
-def _count(examples: DataFrame) -> dict[str, dict[bytes, tuple[int, dict[int, int]]]]:
-    """Contexts by action, counted over all examples (action, u)."""
-    totals = {r["action"]: r["n"] for r in examples.groupBy("action").agg(F.sum(F.octet_length("u") + 1).alias("n")).collect()}
+def _grams(urls: DataFrame, kinds: tuple[str, ...], orders: tuple[int, ...]) -> DataFrame:
+    """(gram, a count for each of kinds) of the rows (kind, u), for contexts of the given lengths."""
+    names = ["gram", *kinds]
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {kind: Counter() for kind in kinds}
 
         def flush() -> pa.RecordBatch:
-            keys = list(held)
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.binary()), pa.array([k[2] for k in keys], pa.int32()), pa.array([held[k] for k in keys], pa.int64())], names=["action", "context", "symbol", "n"])
-            held.clear()
+            grams = list(set().union(*held.values()))
+            out = pa.RecordBatch.from_arrays([pa.array(grams, pa.binary()), *(pa.array([held[kind][g] for g in grams], pa.int64()) for kind in kinds)], names=names)
+            for counter in held.values():
+                counter.clear()
             return out
 
         for batch in batches:
-            for action, u in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                padded = START * ORDER + u.encode() + bytes([END])
-                for i in range(ORDER, len(padded)):
-                    for k in range(ORDER + 1):
-                        held[action, padded[i - k : i], padded[i]] += 1
-                if len(held) > 1 << 18:
+            for kind, u in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                padded, counter = START * ORDER + u + bytes([END]), held[kind]
+                for k in orders:
+                    counter.update(padded[i - k : i + 1] for i in range(ORDER, len(padded)))
+                if sum(map(len, held.values())) > 1 << 18:
                     yield flush()
-        if held:
+        if any(held.values()):
             yield flush()
 
-    summed = examples.select("action", "u").mapInArrow(grams, "action string, context binary, symbol int, n bigint").groupBy("action", "context", "symbol").agg(F.sum("n").alias("n"))
-    # A context has at most 256 symbols, so this list is bounded.
-    contexts = summed.groupBy("action", "context").agg(F.sum("n").alias("total"), F.collect_list(F.struct("symbol", "n")).alias("after"))
-    needed = F.lit(0)
-    for action, n in totals.items():
-        needed = F.when(F.col("action") == action, n / CONTEXT_SHARE).otherwise(needed)
-    out: dict[str, dict] = {"allow": {}, "block": {}}
-    for r in contexts.where(F.col("total") >= needed).toLocalIterator():
-        out[r["action"]][bytes(r["context"])] = (r["total"], {x["symbol"]: x["n"] for x in r["after"]})
-    return out
-
-
-def _scores(frame: DataFrame, model: Model, column: str, into: str) -> DataFrame:
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    shared = frame.sparkSession.sparkContext.broadcast(model)
-    place = frame.columns.index(column)
+    found = urls.select("kind", F.col("u").cast("binary")).mapInArrow(run, "gram binary, " + ", ".join(f"{kind} bigint" for kind in kinds))
+    return found.groupBy("gram").agg(*[F.sum(kind).alias(kind) for kind in kinds])
+
+
+def _ratios(grams: DataFrame, asked: DataFrame) -> DataFrame:
+    """(gram, n, d) of each of asked (gram of the full order, n): d is the log-ratio of its last byte's
+    probabilities in the two models after its context, in UNITs."""
+    size = lambda c="gram": F.octet_length(c)
+    # Its ends, down to the byte alone. What a byte more in front tells apart has at most 256 forms, so no key below is hot.
+    ends = asked.select(F.explode(F.array(*[F.expr(f"substring(gram, {k + 1})") for k in range(1, ORDER + 1)])).alias("gram")).distinct().withColumn("n", F.lit(1).cast("bigint"))
+    none = F.lit(0).cast("bigint")
+    every = grams.select("gram", "allow", "block", none.alias("n")).union(asked.select("gram", none, none, "n")).union(ends.select("gram", none, none, "n"))
+    every = every.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("allow", "block", "n")])
+    wanted = F.collect_list(F.when(F.col("n") > 0, F.struct("gram", "allow", "block", "n"))).alias("wanted")
+    totals = [f(c).alias(c + s) for c in ("allow", "block") for f, s in ((F.sum, "_total"), (lambda c: F.count_if(F.col(c) > 0), "_kinds"))]
+    by_context = every.groupBy(F.expr("substring(gram, 1, octet_length(gram) - 1)").alias("context")).agg(*totals, wanted)
+    levels = materialize(by_context.select("*", F.explode("wanted").alias("w")).select("w.*", *[c + s for c in ("allow", "block") for s in ("_total", "_kinds")]), "url-grams")
+
+    def step(kind: str, shorter: F.Column) -> F.Column:
+        total, kinds = F.col(kind + "_total"), F.col(kind + "_kinds")
+        return F.when(total > 0, (F.col(kind) + kinds * shorter) / (total + kinds)).otherwise(shorter)
+
+    p = levels.where(size() == 1).select("gram", "n", *[step(kind, F.lit(1 / 256)).alias("p_" + kind) for kind in ("allow", "block")])
+    for k in range(2, ORDER + 2):
+        shorter = p.select(F.col("gram").alias("end"), *[F.col("p_" + kind).alias("q_" + kind) for kind in ("allow", "block")])
+        p = levels.where(size() == k).withColumn("end", F.expr("substring(gram, 2)")).join(shorter, "end")
+        p = p.select("gram", "n", *[step(kind, F.col("q_" + kind)).alias("p_" + kind) for kind in ("allow", "block")])
+    return p.select("gram", "n", F.round((F.log("p_allow") - F.log("p_block")) * UNIT).cast("bigint").alias("d"))
+
+
+def _scores(frame: DataFrame, grams: DataFrame, into: str) -> DataFrame:
+    """frame with the score of its column u: the log-ratio of the models, divided by the length."""
+    from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+
+    asked = _grams(frame.select(F.lit("n").alias("kind"), "u"), ("n",), (ORDER,))
+    ratios = materialize(_ratios(grams, asked), "url-ratios")
+    total = ratios.agg(F.sum("n")).first()[0] or 0
+    frequent = {bytes(r["gram"]): r["d"] for r in ratios.where(F.col("n") >= total / FREQUENT_SHARE).collect()}
+    shared = frame.sparkSession.sparkContext.broadcast(frequent)
+    rows = frame.withColumn("__u", F.col("u").cast("binary"))
+    extra = [StructField("__sum", LongType()), StructField("__others", ArrayType(BinaryType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        known = shared.value
         for batch in batches:
-            scores = [m.score(u) for u in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], schema=batch.schema.append(pa.field(into, pa.float64())))
-
-    return frame.mapInArrow(run, StructType([*frame.schema.fields, StructField(into, DoubleType())]))
+            sums, others = [], []
+            for u in batch.column(batch.num_columns - 1).to_pylist():
+                padded = START * ORDER + u + bytes([END])
+                found = [padded[i - ORDER : i + 1] for i in range(ORDER, len(padded))]
+                sums.append(sum(known.get(g, 0) for g in found))
+                others.append([g for g in found if g not in known])
+            fields = [pa.field("__sum", pa.int64()), pa.field("__others", pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.int64()), pa.array(others, pa.list_(pa.binary()))], schema=pa.schema([*batch.schema, *fields]))
+
+    split = rows.mapInArrow(run, StructType([*rows.schema.fields, *extra])).withColumn("__h1", F.xxhash64("__u")).withColumn("__h2", F.xxhash64("__u", F.lit(1)))
+    split = materialize(split, "url-split")
+    score = lambda d: (d / UNIT / (F.octet_length("__u") + 1)).alias(into)
+    some = split.where(F.size("__others") > 0)
+    # A URL with a gram that is not frequent is itself not frequent, so its key is not hot.
+    parts = some.dropDuplicates(["__h1", "__h2"]).select("__h1", "__h2", F.explode("__others").alias("gram")).join(ratios.select("gram", "d"), "gram").groupBy("__h1", "__h2").agg(F.sum("d").alias("__more"))
+    whole = split.where(F.size("__others") == 0).select(*frame.columns, score(F.col("__sum")))
+    return whole.union(some.join(parts, ["__h1", "__h2"]).select(*frame.columns, score(F.col("__sum") + F.col("__more"))))
 
 
 def calibrate(histogram: dict[int, tuple[int, int]]) -> float:
@@ -181,16 +220,16 @@ def fit(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> Model:
     url = F.col(url_col)
     host, path = url_host(url), url_path(url)
     _, action = decided(rules, host, path)
-    examples = pages.select(action.alias("action"), F.coalesce(url, F.lit("")).alias("u"), F.pmod(F.xxhash64(url), F.lit(10)).alias("tenth")).where("action is not null")
-    counts = _count(examples.where(F.col("tenth") < COUNTED_TENTHS))
-    model = Model(Markov(counts["allow"]), Markov(counts["block"]), 0.0)
-    held = _scores(examples.where(F.col("tenth") >= COUNTED_TENTHS), model, "u", "d")
+    examples = pages.select(action.alias("kind"), F.coalesce(url, F.lit("")).alias("u"), (F.pmod(F.xxhash64(url), F.lit(10)) < COUNTED_TENTHS).alias("counted")).where("kind is not null")
+    orders = tuple(range(ORDER + 1))
+    first, rest = (materialize(_grams(examples.where(which), ("allow", "block"), orders), "url-counts") for which in ("counted", "not counted"))
+    held = _scores(examples.where("not counted").select("kind", "u"), first, "d")
     edge = F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(F.col("d") / BIN).cast("int")))
     histogram: dict[int, tuple[int, int]] = {}
-    for r in held.groupBy(edge.alias("b")).agg(F.count_if(F.col("action") == "allow").alias("a"), F.count_if(F.col("action") == "block").alias("r")).collect():
+    for r in held.groupBy(edge.alias("b")).agg(F.count_if(F.col("kind") == "allow").alias("a"), F.count_if(F.col("kind") == "block").alias("r")).collect():
         histogram[r["b"]] = (r["a"], r["r"])
-    model.threshold = calibrate(histogram)
-    return model
+    grams = first.union(rest).groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+    return Model(grams, calibrate(histogram))
 
 
 def judge(pages: DataFrame, rules: list[Rule], model: Model, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -206,6 +245,6 @@ def judge(pages: DataFrame, rules: list[Rule], model: Model, id_col: str = "page
     split = pages.select(F.col(id_col), url_host(url).alias("host"), url_path(url).alias("path"), F.coalesce(url, F.lit("")).alias("u"))
     rule, action = decided(rules, F.col("host"), F.col("path"))
     ruled = split.select(id_col, "host", "path", rule.alias("rule"), action.alias("action"), "u")
-    scored = _scores(ruled, model, "u", "score")
+    scored = _scores(ruled, model.grams, "score")
     method = F.when(F.col("score") >= model.threshold, "allow").otherwise("block")
     return scored.select(id_col, "host", "path", "rule", F.coalesce("action", method).alias("verdict"), "score")

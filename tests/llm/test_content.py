@@ -58,6 +58,30 @@ def test_whole_urls_are_judged(spark):
     assert got[80]["score"] > got[81]["score"] and len({r["score"] for r in got[80:]}) == 3 and all((r["host"], r["path"]) == ("", "") for r in got[80:])
 
 
+def test_rare_contexts_are_kept(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [f"http://{host}.org/{rng.randint(0, 10**6)}" for _ in range(2500) for host in ("good", "bad")]
+    rows += ["http://good.org/zq"] * 3 + ["http://bad.org/qz"] * 3  # fewer than 1 in 20,000 characters
+    rules = [urlfilter.Rule("allow", "good.org/"), urlfilter.Rule("block", "bad.org/")]
+    new = ["http://x.org/zq", "http://x.org/qz", "http://x.org/é7", "", None, "http://x.org/zq", "http://good.org/1"]
+    frame, asked = (spark.createDataFrame(list(enumerate(x)), "page_id bigint, url string") for x in (rows, new))
+    plain = []
+    for kind in ("good", "bad"):
+        contexts = {}
+        for u in rows:
+            padded = b"\x02" * 5 + u.encode() + b"\x03"
+            for i in range(5, len(padded) if f"/{kind}." in u else 0):
+                for k in range(6):
+                    after = contexts.setdefault(padded[i - k : i], {})
+                    after[padded[i]] = after.get(padded[i], 0) + 1
+        plain.append(urlfilter.Markov({c: (sum(after.values()), after) for c, after in contexts.items()}))
+    expected = [(plain[0].log_likelihood(u) - plain[1].log_likelihood(u)) / (len(u) + 1) for u in ((u or "").encode() for u in new)]
+    for share in (urlfilter.FREQUENT_SHARE, 30):
+        monkeypatch.setattr(urlfilter, "FREQUENT_SHARE", share)
+        got = [r["score"] for r in urlfilter.judge(asked, rules, urlfilter.fit(frame, rules)).orderBy("page_id").collect()]
+        assert got == pytest.approx(expected, abs=1e-6) and got[0] == got[5]
+
+
 def test_model_is_a_distribution():
     m = urlfilter.Markov({b"": (4, {97: 3, 98: 1}), b"a": (2, {98: 2})})
     for context in (b"", b"a", b"b", b"zza"):
