@@ -24,7 +24,7 @@ SIZES = (1, 2, 3)
 BITS = 12
 #: Bound of what is learnt from: texts of a language, those of the lowest hashes of their ids.
 MAX_TEXTS_PER_LANGUAGE = 500
-#: Bound of the number of languages that can be learnt.
+#: Bound of the number of languages that can be learnt; more are refused, as none may be left out.
 MAX_LANGUAGES = 200
 UNKNOWN = "und"
 FAMILIES = {
@@ -81,12 +81,15 @@ def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 30) -
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", usable: F.Column | None = None) -> Model:
-    """Learn from the rows with a text and a language that meet `usable`."""
+    """Learn from the rows with a text and a language that meet `usable`. Every language is learnt: more
+    than MAX_LANGUAGES of them are a ValueError."""
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.where(usable) if usable is not None else rows
-    languages = sorted(r[0] for r in rows.select(lang_col).distinct().orderBy(lang_col).limit(MAX_LANGUAGES).collect())
+    languages = sorted(r[0] for r in rows.select(lang_col).distinct().orderBy(lang_col).limit(MAX_LANGUAGES + 1).collect())
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} values; merge rare ones or leave their rows out by `usable`")
     ids = None
     for lang in languages:
         part = rows.where(F.col(lang_col) == lang).select(id_col, F.lit(lang).alias("l")).orderBy(F.xxhash64(id_col), id_col).limit(MAX_TEXTS_PER_LANGUAGE)

@@ -207,6 +207,12 @@ def test_languages_learnt_and_held_out(spark, docs, no_docs):
     assert {r["lang_pred"] for r in langid.predict(frame, one).collect()} == {"fr"}
 
 
+def test_no_language_is_left_out_in_silence(spark):
+    frame = spark.createDataFrame([(i, "some text", f"a{i:03}") for i in range(langid.MAX_LANGUAGES + 1)], "doc_id bigint, text string, lang string")
+    with pytest.raises(ValueError, match="more than"):
+        langid.fit(frame)
+
+
 def test_toxicity_learnt_and_held_out(spark, docs, no_docs):
     rng = random.Random(5)
     plain = [f"word{rng.randint(0, 300)}" for _ in range(400)]
