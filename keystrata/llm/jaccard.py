@@ -220,16 +220,8 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, name:
     return materialize(_intersections(full).distinct(), f"{name}-links")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for each row of docs.
-
-    Words are runs of bytes other than white space (U+0020, U+0009 to U+000D), A-Z lower-cased. A text
-    of fewer than 5 words is one shingle; a null or empty one, or one without words, has none, and is
-    alone in its component. component_id is the smallest id reachable by links of similarity 0.8 or
-    more, itself included. Repeated rows give repeated results. Rows that share an id count as one
-    document in the links (each is compared, and what links one links them all). Ids must not be null.
-    Other columns are not read.
-    """
+def _tiles(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, ...]:
+    """features, classes, membership, reps, few (pairs of the shingles of two or three sets) and tiles of docs."""
     ship_package(docs.sparkSession)
     features = materialize(featurize(docs, shingle_frequencies(docs, text_col), id_col, text_col), "features")
     some = features.where("n > 0")
@@ -254,7 +246,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT) + 1e-9).cast("int")
     posted = keep_likely(tokens, many, "token").join(many, "token", "left_semi").select("token", "rep", "n", F.explode(F.array(band, band + 1)).alias("band")).join(reps.select("rep"), "rep", "left_semi").distinct()
     tiles = materialize(posted, "tiles").withColumn("component", F.col("rep"))
+    return features, classes, membership, reps, few, tiles
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) for each row of docs.
 
+    Words are runs of bytes other than white space (U+0020, U+0009 to U+000D), A-Z lower-cased. A text
+    of fewer than 5 words is one shingle; a null or empty one, or one without words, has none, and is
+    alone in its component. component_id is the smallest id reachable by links of similarity 0.8 or
+    more, itself included. Repeated rows give repeated results. Rows that share an id count as one
+    document in the links (each is compared, and what links one links them all). Ids must not be null.
+    Other columns are not read.
+    """
+    features, _, membership, reps, few, tiles = _tiles(docs, id_col, text_col)
+    key = ["n", "h1", "h2"]
     found = known = waiting = None
     for turn in range(HUB_ROUNDS + 1):
         # Of each tile, whether it still holds different components, and two sets to hold the others
@@ -291,3 +297,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             tiles = mixed.where("members > 3").select("token", "band", "rep", "n").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     out = features.select(id_col, *key).join(membership, [id_col, *key], "left").join(known, "rep", "left")
     return out.select(id_col, F.col("n").alias("n_shingles"), F.coalesce("component", "rep", F.col(id_col)).alias("component_id"))
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, n_links) for each row of docs: how many other rows have a similarity of 0.8 or more.
+
+    Shingles are those of jaccard_components. All pairs of different sets that the bounds leave are
+    decided, within components as well; copies count by the sizes of their classes. A row without
+    shingles has no link. Rows are told apart by id and text, so ids may be repeated or null.
+    """
+    rows = docs.select(id_col, F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("__row"))
+    features, classes, _, reps, few, tiles = _tiles(rows.select("__row", "text"), "__row", "text")
+    key = ["n", "h1", "h2"]
+    side = lambda c, p: _renamed(reps, p).withColumnRenamed(p + "rep", c)
+    pairs = few.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_possible("x", "y")).select("a", "b")
+    held = materialize(tiles.select("token", "band", "rep").join(reps, "rep"), "held")
+    condition = (F.col("xtoken") == F.col("ytoken")) & (F.col("xband") == F.col("yband")) & (F.col("xrep") < F.col("yrep")) & _possible("x", "y")
+    pairs = pairs.union(_renamed(held, "x").join(_renamed(held, "y"), condition).select(F.col("xrep").alias("a"), F.col("yrep").alias("b")))
+    links = verify(materialize(pairs.distinct(), "pairs"), rows, "__row", "text", "all")
+    sizes = features.where("n > 0").groupBy(*key).agg(F.count("*").alias("members")).join(classes, key)
+    both = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    more = both.join(sizes.select(F.col("rep").alias("other"), "members"), "other").groupBy("rep").agg(F.sum("members").alias("more"))
+    counts = sizes.join(more, "rep", "left").select(*key, (F.col("members") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    known = features.select("__row", *key).distinct().join(counts, key, "left")
+    return rows.select(id_col, "__row").join(known, "__row").select(id_col, F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

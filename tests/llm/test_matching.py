@@ -63,6 +63,20 @@ def test_components_equal_brute_force(spark, docs, texts, passage):
     assert sorted(tuple(r) for r in jaccard.jaccard_components(frame).collect()) == brute_components(rows)
 
 
+def test_links_equal_brute_force(spark, texts):
+    rng = random.Random(14)
+    many = [*texts]
+    for size, copies, edits in ((40, 12, 1), (400, 15, 1), (9, 8, 1)):
+        many += family(rng, size, copies, edits)
+    many += [many[25]] * 4
+    rows = [*enumerate(many), (None, many[25]), (None, many[40]), (7, many[41]), (7, many[41]), (None, None)]
+    sets = [shingle_set(t) for _, t in rows]
+    links = [sum(i != j and bool(x & y) and 100 * len(x & y) >= 80 * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted((tuple(r) for r in jaccard.jaccard_links(frame).collect()), key=repr)
+    assert got == sorted(((i, len(x), n) for (i, _), x, n in zip(rows, sets, links, strict=True)), key=repr) and max(links) > 8
+
+
 def test_components_of_rows_that_share_an_id(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (3, "a b c d e f"), (9, None), (9, None), (7, "")]
     got = sorted(tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
