@@ -37,7 +37,7 @@ IS_WORD[0x80:] = True
 class Queries:
     """The windows of a block of items: for each its item, length, and terms by rarity with their offsets."""
 
-    def __init__(self, items: list[tuple[str, str | None]]):
+    def __init__(self, items: list[tuple[str | None, str | None]]):
         self.items = [i for i, _ in items]
         column = pa.array([t for _, t in items], pa.string())
         hashes, item, _, _ = words(*text_bytes(column), IS_WORD)
@@ -164,11 +164,12 @@ def _ranked_blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_co
     """The benchmark in blocks of about BLOCK_BYTES, each with its windows' terms ranked by counts over docs."""
     spark = docs.sparkSession
     ship_package(spark)
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).where("i is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t"))
     volume = items.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
     blocks = max(1, -(-int(volume) // BLOCK_BYTES))
     for block in range(blocks):
-        queries = Queries(sorted((r["i"], r["t"] or "") for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()))
+        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()
+        queries = Queries(sorted(((r["i"], r["t"] or "") for r in rows), key=lambda item: (item[0] or "", item[1])))
         shared = spark.sparkContext.broadcast(queries)
 
         def fill(table: np.ndarray, batches: Iterator[pa.RecordBatch], shared=shared) -> None:
@@ -188,7 +189,7 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
     Words are runs of ASCII letters and digits and of all characters from U+0080 on, A-Z lower-cased.
     A null or empty text has no words; an item without words has no window. An empty benchmark hits
-    nothing. Repeated items count once for an id. The benchmark is taken in blocks of about 4 MB, each
+    nothing. Repeated items count once for an id; an item without an id has hits but is not among items. The benchmark is taken in blocks of about 4 MB, each
     against all documents; beyond one block, rows that share an id are joined into one, so ids should
     be unique then. Other columns are not read.
     """
@@ -218,7 +219,7 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
                     if len(w):
                         for d, c in np.unique(np.stack((text[at], w)), axis=1).T.tolist():
                             ids[d][side].update(q.owners_by_class[q.class_begin[c] : q.class_begin[c + 1]].tolist())
-                names = [[sorted({q.items[i] for i in pair[side]}) for pair in ids] if ids else [[]] * n for side in (0, 1)]
+                names = [[sorted({q.items[i] for i in pair[side]} - {None}) for pair in ids] if ids else [[]] * n for side in (0, 1)]
                 interval = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words.astype(np.int64)), pa.array(hits, interval), pa.array(names[0], pa.list_(pa.string())), pa.array(names[1], pa.list_(pa.string()))], names=[id_col, "n_words", "hits", "items", "near_items"])
 

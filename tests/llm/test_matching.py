@@ -144,6 +144,16 @@ def test_proximity_finds_what_is_near_but_not_in_order(spark):
     assert got == {0: (1, 1), 1: (0, 1), 2: (0, 0)}
 
 
+def test_items_without_an_id_hit(spark, monkeypatch):
+    frame = spark.createDataFrame([(0, "some words of an item here"), (1, "clean text"), (2, "words of an item and other things")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(None, "words of an item"), (5, "of an item and"), (None, None)], "item_id bigint, text string")
+    for size in (decontam.BLOCK_BYTES, 8):
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
+        got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontam.report(frame, bench).collect()}
+        assert got == {0: (4, 0, hashlib.sha256(b"").hexdigest(), True), 1: (0, 0, hashlib.sha256(b"").hexdigest(), False), 2: (5, 1, hashlib.sha256(b"5").hexdigest(), True)}
+        assert [r["doc_id"] for r in decontam.remove_contaminated(frame, bench).collect()] == [1]
+
+
 def test_no_documents_and_no_benchmark(docs, no_docs, items):
     frame, _ = items
     assert decontam.report(no_docs, frame).count() == 0
