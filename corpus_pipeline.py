@@ -16,8 +16,11 @@ TOXIC_FROM = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below TOXIC_FROM; null and empty texts have no evidence and stay unless most labels are toxic."""
+    """Documents that score below TOXIC_FROM; null and empty texts have no evidence and stay unless most labels are toxic.
+    A model that learnt no n-gram tells nothing apart and rejects nothing."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=remainder(5) != 0)
+    if not model.weights.any():
+        return docs
     scored = toxicity.score_documents(docs, model, into="toxicity__score")
     return scored.where(F.col("toxicity__score") < TOXIC_FROM).select(*docs.columns)
 

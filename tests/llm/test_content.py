@@ -276,3 +276,9 @@ def test_pipeline_stages(spark, pipeline, sf_dir, tmp_path):
     assert docs.where("n_chars <> length(text)").count() == 0
     last = pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert last.count() == counts[-1] and [n for n, _ in pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "personal_data", "tokens"]
+
+
+def test_a_model_without_evidence_rejects_nothing(spark, pipeline, docs, tmp_path):
+    for i, rows in enumerate(([], [(1, 1)], [(9999, 0)])):
+        spark.createDataFrame(rows, "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/{i}/labels.parquet")
+        assert pipeline.drop_toxic(spark, docs, f"{tmp_path}/{i}").count() == docs.count()
