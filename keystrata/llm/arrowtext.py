@@ -6,13 +6,15 @@ operations. Memory follows the slice (a few MB of text, or one text if that is l
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
-_WINDOW = 1 << 21
+_libc = ctypes.CDLL(None)
+SLICE_BYTES = 1 << 20
+_WINDOW = 1 << 19
 
 _rng = np.random.default_rng(20240607)
 _BYTE_CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -35,7 +37,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about limit bytes of text; a longer text stands alone."""
+    """The same rows in batches of about limit bytes of text; a longer text stands alone. When they have
+    all been taken, the worker gives memory it has freed back to the system: it may live on idle."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -47,6 +50,14 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+        del batch
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -71,6 +82,41 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, folded: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of the runs of bytes data[start:end], which are in order and do not overlap; bytes are
+    taken as folded[byte], if given."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):  # windows that end between runs
+        to = int(np.searchsorted(end, start[at] + _WINDOW, side="right"))
+        to = max(to, at + 1)
+        lo, hi = start[at], end[to - 1]
+        power, inverse = _power_tables(int(hi - lo))
+        codes = _BYTE_CODES[data[lo:hi] if folded is None else folded[data[lo:hi]]]
+        codes *= power[: hi - lo]
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(codes, out=total[1:])
+        s, e = start[at:to] - lo, end[at:to] - lo
+        out[at:to] = (total[e] - total[s]) * inverse[s]
+        at = to
+    return mix(out)
+
+
+def same_runs(x: np.ndarray, x_start: np.ndarray, y: np.ndarray, y_start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether x[x_start:x_start + length] and y[y_start:y_start + length] are the same bytes, for each run."""
+    out = np.ones(len(length), bool)
+    at = 0
+    ends = np.cumsum(length)
+    while at < len(length):  # runs of about _WINDOW bytes together
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _WINDOW, side="right")))
+        n = length[at:to]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        differ = x[np.repeat(x_start[at:to], n) + within] != y[np.repeat(y_start[at:to], n) + within]
+        out[at:to][np.repeat(np.arange(to - at), n)[differ]] = False
+        at = to
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text index, start, end) of every maximal run of word bytes within a text, in order.
 
@@ -94,22 +140,9 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
     if not len(start):
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, z
-    out = np.empty(len(start), np.uint64)
-    at = 0
-    while at < len(start):  # windows that end between words
-        to = int(np.searchsorted(end, start[at] + _WINDOW, side="right"))
-        to = max(to, at + 1)
-        lo, hi = start[at], end[to - 1]
-        power, inverse = _power_tables(int(hi - lo))
-        codes = _BYTE_CODES[LOWER[data[lo:hi]]]
-        codes *= power[: hi - lo]
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(codes, out=total[1:])
-        s, e = start[at:to] - lo, end[at:to] - lo
-        out[at:to] = (total[e] - total[s]) * inverse[s]
-        at = to
+    out = run_hashes(data, start, end, LOWER)
     text = np.searchsorted(offsets, start, side="right") - 1
-    return mix(out), text, start, end
+    return out, text, start, end
 
 
 def shingles(hashes: np.ndarray, text: np.ndarray, n_texts: int, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -29,6 +29,8 @@ MAX_FEATURES = 100_000
 #: Of an n-gram's likelihood-ratio test against chance (chi-squared of one degree), at every number of texts.
 LEAST_G = 10.83
 LEAST_RATIO = 1.0
+#: Bytes of text whose n-grams a worker holds at a time, some 60 bytes of memory for each.
+SLICE = 1 << 19
 
 
 @dataclass
@@ -38,8 +40,16 @@ class Model:
 
 
 def _presence(batch: pa.RecordBatch, column: int, wanted: np.ndarray | None) -> np.ndarray:
-    """Different (row << BITS | n-gram) of a batch, of wanted n-grams only."""
+    """Different (row << BITS | n-gram) of a batch, of wanted n-grams only. A batch is a slice of about
+    SLICE bytes or one longer text, whose n-grams are marked in a table window by window."""
     data, offsets = text_bytes(batch.column(column))
+    if batch.num_rows == 1 and len(data) > SLICE:
+        seen = np.zeros(1 << BITS, bool)
+        for at in range(0, len(data), SLICE):
+            part = data[at : at + SLICE + max(SIZES) - 1]
+            for _, gram in hashed(part, np.array([0, len(part)]), SIZES, BITS):
+                seen[gram] = True
+        return np.flatnonzero(seen if wanted is None else seen & wanted)
     found = []
     for text, gram in hashed(data, offsets, SIZES, BITS):
         if wanted is not None:
@@ -98,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(text_col, F.col("y").cast("int").alias("y"))
 
     def fill(table: np.ndarray, batches: Iterator[pa.RecordBatch]) -> None:
-        for batch in sliced(batches, text_col):
+        for batch in sliced(batches, text_col, SLICE):
             y = np.asarray(batch.column(1)).astype(np.int64)
             entries = _presence(batch, 0, None)
             table[: 2 * size] += np.bincount(y[entries >> BITS] * size + (entries & (size - 1)), minlength=2 * size)
@@ -121,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value
-        for batch in sliced(batches, text_col):
+        for batch in sliced(batches, text_col, SLICE):
             entries = _presence(batch, 0, at >= 0)
             rows = np.bincount(entries >> BITS, minlength=batch.num_rows)
             offsets = np.concatenate(([0], np.cumsum(rows))).astype(np.int32)
@@ -160,7 +170,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", into:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         wanted = m.weights != 0
-        for batch in sliced(batches, text_col):
+        for batch in sliced(batches, text_col, SLICE):
             entries = _presence(batch, i, wanted)
             z = np.bincount(entries >> BITS, m.weights[entries & ((1 << BITS) - 1)], batch.num_rows) + m.bias
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))

@@ -118,6 +118,19 @@ def test_word_encoder_is_the_library():
         assert np.frombuffer(ids, np.int32).tolist() == t.encode(s, add_special_tokens=False).ids
 
 
+def test_pieces_with_equal_hashes_stay_apart(monkeypatch):
+    with open(P.path("word_bpe_49k.json"), "rb") as f:
+        own = tokenfiles.WordEncoder(f.read())
+    real = tokenfiles.run_hashes
+    monkeypatch.setattr(tokenfiles, "run_hashes", lambda *a: real(*a) & np.uint64(7))
+    monkeypatch.setattr(tokenfiles, "MEMO_ENTRIES", 6)
+    samples = [*random_texts(200, 9), "naïve ŒUVRE ſtart 3×4÷5 İ", "don't 'sound I'LL", "a\tb\x1cc", ""]
+    for s in samples:
+        assert own.encode(s).tolist() == own.tokenizer.encode(s, add_special_tokens=False).ids
+    for s, ids in zip(samples, own.encode_all(samples), strict=True):
+        assert np.frombuffer(ids, np.int32).tolist() == own.tokenizer.encode(s, add_special_tokens=False).ids
+
+
 def test_counts_are_the_library(docs, no_docs, texts):
     name = P.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=name)
