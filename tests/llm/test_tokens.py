@@ -143,3 +143,33 @@ def test_counts_are_the_library(docs, no_docs, texts):
         n = len(sp.encode(t or ""))
         assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((t or "").encode()), n, n > 500)
     assert tokencount.count_tokens(no_docs, name).count() == 0
+
+
+def test_long_unbroken_texts(monkeypatch):
+    name = P.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=name)
+    with open(name, "rb") as f:
+        counter = tokencount.PieceCounter(f.read())
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    unbroken = ["".join(rng.choice(letters) for _ in range(20000)), base64.b64encode(rng.randbytes(9000)).decode(), "a" * 30000, "the" * 5000 + "x", " " * 20000 + "b", "".join(rng.choice("中文字符的一是不了人我") for _ in range(3000)), "-" * 5000, "\n" * 3000, "é🎉" * 2000]
+    assert counter.counts(unbroken) == [len(x) for x in sp.encode(unbroken)]
+    monkeypatch.setattr(tokencount, "CUT_ROUNDS", 2)
+    for _ in range(600):
+        alphabet = rng.choice(["ab", "aeth", "théñ中x▁", "theandofi", "aaaab", "    a", " -"])
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(2, 200)))
+        assert sum(counter.long_count(p) for p in counter.cut(text)) == len(sp.encode(text))
+
+
+def test_time_of_unbroken_text_is_near_linear():
+    import time
+
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        counter = tokencount.PieceCounter(f.read())
+    rng = random.Random(7)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400_000))
+    began = time.process_time()
+    counter.long_count(text[:100_000])
+    short = time.process_time() - began
+    counter.long_count(text)
+    assert time.process_time() - began - short < 10 * max(short, 0.2)
