@@ -11,13 +11,22 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH = "_keystrata_scratch"
 _shipped: set[str] = set()
 _own_dirs: dict[str, str] = {}
 
 
+#: Arrow batches to and from Python hold this much unless the session says otherwise; Spark's own bound of
+#: 64 MB is held several times over by a task and its worker.
+ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package once per application, so that Python operators import there."""
+    """Give the executors this package once per application, so that Python operators import there, and
+    bound the bytes of Arrow batches where the session has no bound of its own."""
     sc = spark.sparkContext
+    if ARROW_BYTES[0] not in spark.conf.getAll:
+        spark.conf.set(*ARROW_BYTES)
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
@@ -56,7 +65,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    frame = spark.read.schema(df.schema).parquet(path)
+    frame.__dict__[_SCRATCH] = path
+    return frame
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the files of materialized frames that nothing will read any more; other frames are left alone."""
+    for frame in frames:
+        path = frame.__dict__.pop(_SCRATCH, None) if frame is not None else None
+        if path:
+            delete_path(frame.sparkSession, path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
