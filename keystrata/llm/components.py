@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.runtime import materialize
+from keystrata.runtime import discard, materialize
 
 
 def connected_components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -28,5 +28,9 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         kept = large.join(least, "u")
         small = kept.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small, name)
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v"))).distinct()
+        older, edges = edges, materialize(small, name)
+        discard(older)
+    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v"))).distinct()
+    nodes = materialize(nodes, f"{name}-nodes")
+    discard(edges)
+    return nodes

@@ -39,7 +39,7 @@ from keystrata.llm.arrowtext import mix, shingles, sliced, text_bytes, words
 from keystrata.llm.components import connected_components
 from keystrata.llm.idfilter import keep_likely
 from keystrata.llm.tables import sum_tables
-from keystrata.runtime import materialize, ship_package
+from keystrata.runtime import discard, materialize, ship_package
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -213,21 +213,25 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, name:
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct(), f"{name}-ids")
     involved = keep_likely(docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col), wanted, id_col)
     sets = materialize(full_sets(involved, id_col, text_col), f"{name}-sets")
+    discard(wanted)
     # Wide signatures are a thirtieth of the sets; sets are joined for the pairs that these leave.
     wide = lambda c: sets.select(F.col(id_col).alias(c), F.col("n").alias("n" + c), F.col("wide").alias("w" + c))
     pairs = materialize(_bounded(pairs.join(wide("a"), "a").join(wide("b"), "b")).distinct(), f"{name}-bounded")
     full = pairs.join(sets.select(F.col(id_col).alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col(id_col).alias("b"), F.col("elements").alias("eb")), "b")
-    return materialize(_intersections(full).distinct(), f"{name}-links")
+    links = materialize(_intersections(full).distinct(), f"{name}-links")
+    discard(sets, pairs)
+    return links
 
 
 def _tiles(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, ...]:
-    """features, classes, membership, reps, few (pairs of the shingles of two or three sets) and tiles of docs."""
+    """members (a row for each of docs, with its class and the class's rep, null without shingles), reps,
+    holders of shingles, few (pairs of the shingles that two or three sets hold) and tiles of docs."""
     ship_package(docs.sparkSession)
     features = materialize(featurize(docs, shingle_frequencies(docs, text_col), id_col, text_col), "features")
     some = features.where("n > 0")
     key = ["n", "h1", "h2"]
     classes = materialize(some.groupBy(*key).agg(F.min(id_col).alias("rep")), "classes")
-    membership = materialize(some.select(id_col, *key).join(classes, key).select(id_col, *key, "rep").distinct(), "members")
+    members = materialize(features.select(id_col, *key).join(classes, key, "left").select(id_col, *key, "rep"), "members")
     reps = materialize(some.select(id_col, *key, *SIGNATURE).join(classes.withColumnRenamed("rep", id_col), [*key, id_col], "left_semi").dropDuplicates([id_col]).select(F.col(id_col).alias("rep"), "n", *SIGNATURE), "reps")
 
     # Tokens of representatives (a few copies may pass: their links are their class's links as well).
@@ -245,8 +249,9 @@ def _tiles(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, ...]
     many = holders.where("c > 3").select("token")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT) + 1e-9).cast("int")
     posted = keep_likely(tokens, many, "token").join(many, "token", "left_semi").select("token", "rep", "n", F.explode(F.array(band, band + 1)).alias("band")).join(reps.select("rep"), "rep", "left_semi").distinct()
-    tiles = materialize(posted, "tiles").withColumn("component", F.col("rep"))
-    return features, classes, membership, reps, few, tiles
+    tiles = materialize(posted, "tiles")
+    discard(features, classes)
+    return members, reps, holders, few, tiles
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,9 +264,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     document in the links (each is compared, and what links one links them all). Ids must not be null.
     Other columns are not read.
     """
-    features, _, membership, reps, few, tiles = _tiles(docs, id_col, text_col)
-    key = ["n", "h1", "h2"]
-    found = known = waiting = None
+    members, reps, holders, few, posted = _tiles(docs, id_col, text_col)
+    tiles = posted.withColumn("component", F.col("rep"))
+    found = known = waiting = nodes = None
     for turn in range(HUB_ROUNDS + 1):
         # Of each tile, whether it still holds different components, and two sets to hold the others
         # against; held so, a tile of three sets is done.
@@ -272,6 +277,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         mixed = tiles.join(spread, ["token", "band"])
         if turn < HUB_ROUNDS:
             mixed = materialize(mixed, f"mixed{turn}")
+            discard(posted)
+            posted = mixed
             hubs = mixed.select("rep", "n", "component", F.explode(F.array("hub", "far")).alias("other"))
             near = hubs.where("component <> other.component").where(_sizes_fit(F.col("n"), F.col("other.n")))
             near = near.select(F.least("rep", "other.rep").alias("a"), F.greatest("rep", "other.rep").alias("b"))
@@ -279,10 +286,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             near = near.join(_renamed(reps, "x").withColumnRenamed("xrep", "a"), "a").join(_renamed(reps, "y").withColumnRenamed("yrep", "b"), "b").where(_possible("x", "y"))
         else:
             last = materialize(mixed.select("token", "band", "rep", "component").join(reps, "rep"), "mixed")
+            discard(posted)
             condition = (F.col("xtoken") == F.col("ytoken")) & (F.col("xband") == F.col("yband")) & (F.col("xrep") < F.col("yrep")) & (F.col("xcomponent") != F.col("ycomponent")) & _possible("x", "y")
             near = _renamed(last, "x").join(_renamed(last, "y"), condition).select(F.col("xrep").alias("a"), F.col("yrep").alias("b")).distinct()
-        near = materialize(near.select("a", "b"), f"near{turn}")
+        near = made = materialize(near.select("a", "b"), f"near{turn}")
+        if turn == HUB_ROUNDS:
+            discard(last, reps)
         if not turn:
+            discard(holders)
             # In a group of near copies most pairs link. One pair for each set comes first; the others are
             # looked at in the next round, where they can still join two components.
             waiting, near = near, near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -291,11 +302,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             open_pairs = waiting.join(side("a"), "a", "left").join(side("b"), "b", "left").where("ca is null or cb is null or ca <> cb")
             near = near.union(open_pairs.select("a", "b")).distinct()
         links = verify(near, docs, id_col, text_col, f"round{turn}")
+        discard(made if turn else None, waiting if turn == 1 else None)
         found = links if found is None else found.union(links)
-        known = connected_components(found).select(F.col("node").alias("rep"), "component")
+        discard(nodes)
+        nodes = connected_components(found)
+        known = nodes.select(F.col("node").alias("rep"), "component")
         if turn < HUB_ROUNDS:
             tiles = mixed.where("members > 3").select("token", "band", "rep", "n").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    out = features.select(id_col, *key).join(membership, [id_col, *key], "left").join(known, "rep", "left")
+    out = members.join(known, "rep", "left")
     return out.select(id_col, F.col("n").alias("n_shingles"), F.coalesce("component", "rep", F.col(id_col)).alias("component_id"))
 
 
@@ -307,17 +321,19 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shingles has no link. Rows are told apart by id and text, so ids may be repeated or null.
     """
     rows = docs.select(id_col, F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("__row"))
-    features, classes, _, reps, few, tiles = _tiles(rows.select("__row", "text"), "__row", "text")
+    members, reps, holders, few, tiles = _tiles(rows.select("__row", "text"), "__row", "text")
     key = ["n", "h1", "h2"]
     side = lambda c, p: _renamed(reps, p).withColumnRenamed(p + "rep", c)
     pairs = few.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_possible("x", "y")).select("a", "b")
     held = materialize(tiles.select("token", "band", "rep").join(reps, "rep"), "held")
     condition = (F.col("xtoken") == F.col("ytoken")) & (F.col("xband") == F.col("yband")) & (F.col("xrep") < F.col("yrep")) & _possible("x", "y")
     pairs = pairs.union(_renamed(held, "x").join(_renamed(held, "y"), condition).select(F.col("xrep").alias("a"), F.col("yrep").alias("b")))
-    links = verify(materialize(pairs.distinct(), "pairs"), rows, "__row", "text", "all")
-    sizes = features.where("n > 0").groupBy(*key).agg(F.count("*").alias("members")).join(classes, key)
+    pairs = materialize(pairs.distinct(), "pairs")
+    discard(holders, tiles, held, reps)
+    links = verify(pairs, rows, "__row", "text", "all")
+    sizes = members.where("n > 0").groupBy(*key, "rep").agg(F.count("*").alias("members"))
     both = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
     more = both.join(sizes.select(F.col("rep").alias("other"), "members"), "other").groupBy("rep").agg(F.sum("members").alias("more"))
     counts = sizes.join(more, "rep", "left").select(*key, (F.col("members") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
-    known = features.select("__row", *key).distinct().join(counts, key, "left")
+    known = members.select("__row", *key).distinct().join(counts, key, "left")
     return rows.select(id_col, "__row").join(known, "__row").select(id_col, F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
