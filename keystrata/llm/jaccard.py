@@ -134,20 +134,29 @@ def featurize(docs: DataFrame, frequencies: np.ndarray, id_col: str, text_col: s
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, wide, elements): whole shingle sets as sorted arrays, and signatures of 2n parity bits or more, up to WIDEST."""
+    """(id, elements): whole shingle sets as sorted arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, text_col):
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(*_distinct(*_sets(batch, 1)))], names=[id_col, "elements"])
+
+    return docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col).mapInArrow(run, f"`{id_col}` bigint, elements array<bigint>")
+
+
+def wide_signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, wide): set sizes and signatures of 2n parity bits or more, up to WIDEST."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_col):
             values, offsets = _distinct(*_sets(batch, 1))
-            n = np.diff(offsets)
             wide = []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 bits = min(WIDEST, max(512, 1 << (2 * (b - a) - 1).bit_length())) if b > a else 512
                 parity = np.bincount((values[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
                 wide.append(np.packbits(parity.astype(np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(wide, pa.binary()), _lists(values, offsets)], names=[id_col, "n", "wide", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(wide, pa.binary())], names=[id_col, "n", "wide"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col).mapInArrow(run, f"`{id_col}` bigint, n bigint, wide binary, elements array<bigint>")
+    return docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col).mapInArrow(run, f"`{id_col}` bigint, n bigint, wide binary")
 
 
 def _bounded(pairs: DataFrame) -> DataFrame:
@@ -208,18 +217,20 @@ def _renamed(light: DataFrame, side: str) -> DataFrame:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """The linked ones among different pairs (a, b) of representatives, by their whole sets. Only the
-    sets of documents in pairs are made, in a scan that lets others pass by."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct(), f"{name}-ids")
-    involved = keep_likely(docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col), wanted, id_col)
-    sets = materialize(full_sets(involved, id_col, text_col), f"{name}-sets")
-    discard(wanted)
-    # Wide signatures are a thirtieth of the sets; sets are joined for the pairs that these leave.
-    wide = lambda c: sets.select(F.col(id_col).alias(c), F.col("n").alias("n" + c), F.col("wide").alias("w" + c))
+    """The linked ones among different pairs (a, b) of representatives, by their whole sets. Signatures and
+    then sets are made in scans that let the documents that are in no pair, or no bounded one, pass by."""
+    texts = docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col)
+    both = lambda p: p.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
+    wanted = materialize(both(pairs), f"{name}-ids")
+    signatures = materialize(wide_signatures(keep_likely(texts, wanted, id_col), id_col, text_col), f"{name}-wide")
+    wide = lambda c: signatures.select(F.col(id_col).alias(c), F.col("n").alias("n" + c), F.col("wide").alias("w" + c))
     pairs = materialize(_bounded(pairs.join(wide("a"), "a").join(wide("b"), "b")).distinct(), f"{name}-bounded")
-    full = pairs.join(sets.select(F.col(id_col).alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col(id_col).alias("b"), F.col("elements").alias("eb")), "b")
-    links = materialize(_intersections(full).distinct(), f"{name}-links")
-    discard(sets, pairs)
+    discard(wanted, signatures)
+    wanted = materialize(both(pairs), f"{name}-left")
+    sets = materialize(full_sets(keep_likely(texts, wanted, id_col), id_col, text_col), f"{name}-sets")
+    side = lambda c: sets.select(F.col(id_col).alias(c), F.col("elements").alias("e" + c))
+    links = materialize(_intersections(pairs.join(side("a"), "a").join(side("b"), "b")).distinct(), f"{name}-links")
+    discard(wanted, sets, pairs)
     return links
 
 
