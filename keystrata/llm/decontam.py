@@ -1,11 +1,16 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
-The index is partitioned by documents: each shard holds, for the terms that the benchmark uses, the
-sorted positions of its documents' tokens. A window of benchmark words is looked up from its rarest
-term, by counts over the whole corpus: that term's positions, less its offset in the window, are the
-possible starts, and each further term's positions, less its offset, are intersected with them, from
-the rarest to the most frequent. What remains are exact occurrences. Proximity matches ask only that
-the rarest few terms of a window lie within a distance of each other, in any order.
+The index is stored as Parquet, a row for each range of about 1 MB of documents: the terms that the
+benchmark may use, sorted, with the sorted positions of each within the range. It is made in one scan
+of the texts, whatever the size of the benchmark; the benchmark is then taken in blocks, each against
+the stored postings. A window of benchmark words is looked up from its rarest term, by counts over the
+whole corpus: that term's positions, less its offset in the window, are the possible starts, and each
+further term's positions, less its offset, are intersected with them, from the rarest to the most
+frequent. What remains are exact occurrences. Proximity matches ask only that the rarest few terms of
+a window lie within a distance of each other, in any order.
+
+Words are told apart by 64-bit hashes of their bytes; two different ones are taken for the same with a
+probability of about 2^-64.
 """
 
 from __future__ import annotations
@@ -17,15 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.arrowtext import sliced, text_bytes, words
+from keystrata.llm.arrowtext import give_back, sliced, text_bytes, words
 from keystrata.llm.tables import sum_tables
-from keystrata.runtime import ship_package
+from keystrata.runtime import materialize, ship_package
 
 WINDOW = 10
 NEAR_TERMS = 5
 NEAR_DISTANCE = 30
 #: The benchmark is taken in blocks of about so many bytes: the bound of what is broadcast at a time.
 BLOCK_BYTES = 4 << 20
+#: The index holds the words whose hash falls on a slot, of 2^FILTER_BITS, of some benchmark word.
+FILTER_BITS = 20
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[0x30:0x3A] = True
@@ -34,6 +41,10 @@ IS_WORD[0x61:0x7B] = True
 IS_WORD[0x80:] = True
 
 
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
 class Queries:
     """The windows of a block of items: for each its item, length, and terms by rarity with their offsets."""
 
@@ -66,14 +77,14 @@ class Queries:
         order = np.argsort(self.class_of, kind="stable")
         self.owners_by_class = self.owner[order]
         self.class_begin = np.searchsorted(self.class_of[order], np.arange(len(self.class_size) + 1))
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.terms >> np.uint64(44)).astype(np.int64)] = True
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        self.filter[_slot(self.terms)] = True
 
     def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, term) of the words that are terms of this block."""
         if not len(self.terms):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(self.filter[(hashes >> np.uint64(44)).astype(np.int64)])
+        at = np.flatnonzero(self.filter[_slot(hashes)])
         term = np.searchsorted(self.terms, hashes[at])
         term[term == len(self.terms)] = 0
         same = self.terms[term] == hashes[at]
@@ -93,13 +104,30 @@ SHIFT = 40  # positions within a shard's slice are far below 2^40
 
 
 class Shard:
-    """Postings of a slice of documents: sorted term << SHIFT | position, positions counted over the slice."""
+    """Postings of a range of documents: sorted term << SHIFT | position, positions counted over the range,
+    and where each document begins among the positions, the end last."""
 
-    def __init__(self, queries: Queries, hashes: np.ndarray, text: np.ndarray):
-        self.q, self.text = queries, text
+    def __init__(self, queries: Queries, term: np.ndarray, position: np.ndarray, begin: np.ndarray):
+        self.q, self.begin = queries, begin
+        self.postings = term << SHIFT | position
+
+    @classmethod
+    def of_words(cls, queries: Queries, hashes: np.ndarray, n_words: np.ndarray) -> Shard:
         position, term = queries.lookup(hashes)
-        self.postings = np.sort(term << SHIFT | position)
-        self.begin = np.searchsorted(text, np.arange(int(text[-1]) + 2)) if len(text) else np.zeros(1, np.int64)
+        order = np.argsort(term, kind="stable")
+        return cls(queries, term[order], position[order], np.concatenate(([0], np.cumsum(n_words))))
+
+    @classmethod
+    def of_index(cls, queries: Queries, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, n_words: np.ndarray) -> Shard:
+        """From a row of the index, whose terms are sorted as the queries' are."""
+        which, term = queries.lookup(terms)
+        size, first = counts[which], (np.cumsum(counts) - counts)[which]
+        ends = np.cumsum(size)
+        at = np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return cls(queries, np.repeat(term, size), positions[at].astype(np.int64), np.concatenate(([0], np.cumsum(n_words))))
+
+    def doc(self, position: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begin, position, side="right") - 1
 
     def _has(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
         key = term << SHIFT | position
@@ -124,8 +152,8 @@ class Shard:
         near_w, near_p = self._near(window, position)
         start = position - self.q.order[window, 0]
         size = self.q.class_size[window]
-        fits = (start >= 0) & (start + size <= len(self.text))
-        fits[fits] = self.text[start[fits]] == self.text[start[fits] + size[fits] - 1]
+        fits = (start >= 0) & (start + size <= self.begin[-1])
+        fits[fits] = self.doc(start[fits]) == self.doc(start[fits] + size[fits] - 1)
         window, start = window[fits], start[fits]
         for k in range(1, WINDOW):
             more = self.q.ranked_terms[window, k] >= 0
@@ -139,7 +167,7 @@ class Shard:
         repeats is asked for once more at its own place, so it adds nothing."""
         for k in range(1, NEAR_TERMS):
             term = self.q.ranked_terms[window, k]
-            doc = self.text[position]
+            doc = self.doc(position)
             lo = np.maximum(position - NEAR_DISTANCE, self.begin[doc])
             hi = np.minimum(position + NEAR_DISTANCE, self.begin[doc + 1] - 1)
             at = np.searchsorted(self.postings, np.maximum(term, 0) << SHIFT | lo)
@@ -160,26 +188,53 @@ def _runs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[new], e[last]
 
 
-def _ranked_blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str) -> Iterator[Queries]:
-    """The benchmark in blocks of about BLOCK_BYTES, each with its windows' terms ranked by counts over docs."""
-    spark = docs.sparkSession
-    ship_package(spark)
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[Queries]:
+    """The benchmark in blocks of about BLOCK_BYTES."""
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t"))
     volume = items.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
     blocks = max(1, -(-int(volume) // BLOCK_BYTES))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()
-        queries = Queries(sorted(((r["i"], r["t"] or "") for r in rows), key=lambda item: (item[0] or "", item[1])))
-        shared = spark.sparkContext.broadcast(queries)
+        yield Queries(sorted(((r["i"], r["t"] or "") for r in rows), key=lambda item: (item[0] or "", item[1])))
 
-        def fill(table: np.ndarray, batches: Iterator[pa.RecordBatch], shared=shared) -> None:
-            for batch in sliced(batches, text_col):
-                hashes, _, _, _ = words(*text_bytes(batch.column(0)), IS_WORD)
-                _, term = shared.value.lookup(hashes)
-                table[: len(shared.value.terms)] += np.bincount(term, minlength=len(shared.value.terms))
 
-        queries.rank(sum_tables(docs.select(text_col), fill, max(1, len(queries.terms))))
-        yield queries
+def build_index(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_text_col: str = "text") -> DataFrame:
+    """The stored index of docs for the words of the benchmark, in the shared folder: a row for each range of
+    documents with shard (a number of its own), ids and n_words of the documents, and the terms, the
+    number of positions of each, and the positions. Words of other texts may be among the terms."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    size = 1 << FILTER_BITS
+
+    def fill(table: np.ndarray, batches: Iterator[pa.RecordBatch]) -> None:
+        for batch in sliced(batches, item_text_col):
+            hashes, _, _, _ = words(*text_bytes(batch.column(0)), IS_WORD)
+            table[_slot(hashes)] = 1
+
+    wanted = spark.sparkContext.broadcast(np.packbits(sum_tables(benchmark.select(item_text_col), fill, size) > 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        used = np.unpackbits(wanted.value).astype(bool)
+        shard = TaskContext.get().partitionId() << 33
+        for batch in sliced(batches, text_col):
+            hashes, text, _, _ = words(*text_bytes(batch.column(1)), IS_WORD)
+            position = np.flatnonzero(used[_slot(hashes)])
+            position = position[np.argsort(hashes[position], kind="stable")]
+            terms, counts = np.unique(hashes[position], return_counts=True)
+            lists = (batch.column(0), pa.array(np.bincount(text, minlength=batch.num_rows).astype(np.int64)), pa.array(terms.view(np.int64)), pa.array(counts.astype(np.int32)), pa.array(position.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists)], names=["shard", "ids", "n_words", "terms", "counts", "positions"])
+            shard += 1
+
+    kind = dict(docs.dtypes)[id_col]
+    schema = f"shard bigint, ids array<{kind}>, n_words array<bigint>, terms array<bigint>, counts array<int>, positions array<int>"
+    return materialize(docs.select(id_col, text_col).mapInArrow(run, schema), "index")
+
+
+def _array(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """The values of a list column of a batch of one row."""
+    return np.asarray(batch.column(batch.schema.get_field_index(name)).flatten())
 
 
 def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -189,60 +244,91 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
     Words are runs of ASCII letters and digits and of all characters from U+0080 on, A-Z lower-cased.
     A null or empty text has no words; an item without words has no window. An empty benchmark hits
-    nothing. Repeated items count once for an id; an item without an id has hits but is not among items. The benchmark is taken in blocks of about 4 MB, each
-    against all documents; beyond one block, rows that share an id are joined into one, so ids should
-    be unique then. Other columns are not read.
+    nothing. Repeated items count once for an id; an item without an id has hits but is not among items.
+    Rows are told apart by their place in the index, so ids may be repeated or null. The benchmark is
+    taken in blocks of about 4 MB, each against the stored index. Other columns are not read.
     """
     spark = docs.sparkSession
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"`{id_col}` {kind}, n_words bigint, hits array<struct<s:bigint,e:bigint>>, items array<string>, near_items array<string>"
-    found, blocks = None, 0
-    for queries in _ranked_blocks(docs, benchmark, text_col, item_col, item_text_col):
-        blocks += 1
-
-        def run(batches: Iterator[pa.RecordBatch], shared=spark.sparkContext.broadcast(queries)) -> Iterator[pa.RecordBatch]:
-            q = shared.value
-            for batch in sliced(batches, text_col):
-                n = batch.num_rows
-                hashes, text, _, _ = words(*text_bytes(batch.column(1)), IS_WORD)
-                n_words = np.bincount(text, minlength=n)
-                first = np.cumsum(n_words) - n_words
-                window, start, near, near_at = Shard(q, hashes, text).matches()
-                hits: list[list] = [[] for _ in range(n)]
-                ids = [[set(), set()] for _ in range(n)] if len(window) or len(near) else None
-                doc = text[start]
-                for d in np.unique(doc).tolist():
-                    here = doc == d
-                    s, e = _runs(start[here], q.class_size[window[here]])
-                    hits[d] = [{"s": a, "e": b} for a, b in zip((s - first[d]).tolist(), (e - first[d]).tolist(), strict=True)]
-                for side, w, at in ((0, window, start), (1, near, near_at)):
-                    if len(w):
-                        for d, c in np.unique(np.stack((text[at], w)), axis=1).T.tolist():
-                            ids[d][side].update(q.owners_by_class[q.class_begin[c] : q.class_begin[c + 1]].tolist())
-                names = [[sorted({q.items[i] for i in pair[side]} - {None}) for pair in ids] if ids else [[]] * n for side in (0, 1)]
-                interval = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words.astype(np.int64)), pa.array(hits, interval), pa.array(names[0], pa.list_(pa.string())), pa.array(names[1], pa.list_(pa.string()))], names=[id_col, "n_words", "hits", "items", "near_items"])
-
-        rows = docs.select(id_col, text_col).mapInArrow(run, schema)
-        found = rows if found is None else found.union(rows)
-    if blocks > 1:
-        lists = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("hits", "items", "near_items")]
-        found = found.groupBy(id_col).agg(F.max("n_words").alias("n_words"), *lists)
-    return found
+    index = build_index(docs, benchmark, id_col, text_col, item_text_col)
+    rows = index.select("shard", F.posexplode(F.arrays_zip("ids", "n_words")).alias("place", "d")).select("shard", "place", F.col("d.ids").alias(id_col), F.col("d.n_words").alias("n_words"))
+    schema = "shard bigint, place int, hits array<struct<s:bigint,e:bigint>>, items array<string>, near_items array<string>"
+    found = None
+    for queries in _blocks(benchmark, item_col, item_text_col):
+        block = spark.sparkContext.broadcast(queries)
+
+        def fill(table: np.ndarray, batches: Iterator[pa.RecordBatch], block=block) -> None:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    one = batch.slice(k, 1)
+                    which, term = block.value.lookup(_array(one, "terms").view(np.uint64))
+                    np.add.at(table, term, _array(one, "counts")[which])
+
+        queries.rank(sum_tables(index.select("terms", "counts"), fill, max(1, len(queries.terms))))
+        block.unpersist()
+        ranked = spark.sparkContext.broadcast(queries)
+
+        def run(batches: Iterator[pa.RecordBatch], block=ranked) -> Iterator[pa.RecordBatch]:
+            q = block.value
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    one = batch.slice(k, 1)
+                    n_words = _array(one, "n_words")
+                    shard = Shard.of_index(q, _array(one, "terms").view(np.uint64), _array(one, "counts").astype(np.int64), _array(one, "positions"), n_words)
+                    window, start, near, near_at = shard.matches()
+                    hits: dict[int, list] = {}
+                    ids: dict[int, tuple[set, set]] = {}
+                    doc = shard.doc(start)
+                    for d in np.unique(doc).tolist():
+                        here = doc == d
+                        s, e = _runs(start[here], q.class_size[window[here]])
+                        first = int(shard.begin[d])
+                        hits[d] = [{"s": a - first, "e": b - first} for a, b in zip(s.tolist(), e.tolist(), strict=True)]
+                    for side, w, at in ((0, window, start), (1, near, near_at)):
+                        if len(w):
+                            for d, c in np.unique(np.stack((shard.doc(at), w)), axis=1).T.tolist():
+                                ids.setdefault(d, (set(), set()))[side].update(q.owners_by_class[q.class_begin[c] : q.class_begin[c + 1]].tolist())
+                    if ids:
+                        docs_hit = sorted(ids)
+                        names = [[sorted({q.items[i] for i in ids[d][side]} - {None}) for d in docs_hit] for side in (0, 1)]
+                        interval = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+                        yield pa.RecordBatch.from_arrays([pa.array([one.column(0)[0].as_py()] * len(docs_hit), pa.int64()), pa.array(docs_hit, pa.int32()), pa.array([hits.get(d, []) for d in docs_hit], interval), pa.array(names[0], pa.list_(pa.string())), pa.array(names[1], pa.list_(pa.string()))], names=["shard", "place", "hits", "items", "near_items"])
+            give_back()
+
+        part = index.select("shard", "n_words", "terms", "counts", "positions").mapInArrow(run, schema)
+        found = part if found is None else found.union(part)
+    # Rows without any match are not in found; those of several blocks are put together by the row's place.
+    lists = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("hits", "items", "near_items")]
+    found = found.groupBy("shard", "place").agg(*lists)
+    empty = {"hits": F.array().cast("array<struct<s:bigint,e:bigint>>"), "items": F.array().cast("array<string>"), "near_items": F.array().cast("array<string>")}
+    return rows.join(found, ["shard", "place"], "left").select(id_col, "n_words", *[F.coalesce(c, none).alias(c) for c, none in empty.items()])
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, in which no window of the benchmark occurs; rows with a null or
-    empty text stay. Each block of the benchmark is a filter after the one before: no shuffle, no join."""
+    empty text stay. Each block of the benchmark is a filter after the one before, on postings that are
+    made as the texts pass by and looked up as those of the stored index: no shuffle, no join. A
+    window's terms are ranked by their counts in docs."""
     out, place = docs, docs.columns.index(text_col)
-    for queries in _ranked_blocks(docs, benchmark, text_col, item_col, item_text_col):
+    ship_package(docs.sparkSession)
+    for queries in _blocks(benchmark, item_col, item_text_col):
+        block = docs.sparkSession.sparkContext.broadcast(queries)
+
+        def fill(table: np.ndarray, batches: Iterator[pa.RecordBatch], block=block) -> None:
+            for batch in sliced(batches, text_col):
+                hashes, _, _, _ = words(*text_bytes(batch.column(0)), IS_WORD)
+                _, term = block.value.lookup(hashes)
+                table[: len(block.value.terms)] += np.bincount(term, minlength=len(block.value.terms))
+
+        queries.rank(sum_tables(docs.select(text_col), fill, max(1, len(queries.terms))))
+        block.unpersist()
 
         def run(batches: Iterator[pa.RecordBatch], shared=docs.sparkSession.sparkContext.broadcast(queries)) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, text_col):
                 hashes, text, _, _ = words(*text_bytes(batch.column(place)), IS_WORD)
-                _, start, _, _ = Shard(shared.value, hashes, text).matches()
+                shard = Shard.of_words(shared.value, hashes, np.bincount(text, minlength=batch.num_rows))
+                _, start, _, _ = shard.matches()
                 clean = np.ones(batch.num_rows, bool)
-                clean[text[start]] = False
+                clean[shard.doc(start)] = False
                 yield batch.filter(pa.array(clean))
 
         out = out.mapInArrow(run, docs.schema)

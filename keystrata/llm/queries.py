@@ -57,7 +57,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near_items")
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +94,18 @@ ORACLES = {
  dw AS (SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS k, unnest(list_transform(range(1, len(ws) - n + 2), lambda k: array_to_string(ws[k:k + n - 1], ' '))) AS win FROM d, sizes WHERE len(ws) >= n),
  m AS (SELECT dw.doc_id, dw.n, dw.k, iw.item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
  h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY 1),
+ q AS (SELECT win, off, w, row_number() OVER (PARTITION BY win ORDER BY coalesce(c, 0), off) AS rk, c FROM (SELECT win, unnest(range(len(string_split(win, ' ')))) AS off, unnest(string_split(win, ' ')) AS w FROM (SELECT DISTINCT win FROM iw)) LEFT JOIN (SELECT w, count(*) AS c FROM (SELECT unnest(ws) AS w FROM d) GROUP BY 1) USING (w)),
+ r AS (SELECT win, max(w) FILTER (rk = 1) AS t1, max(w) FILTER (rk = 2) AS t2, max(w) FILTER (rk = 3) AS t3, max(w) FILTER (rk = 4) AS t4, max(w) FILTER (rk = 5) AS t5 FROM q GROUP BY 1),
+ o AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS w FROM d),
+ b AS (SELECT o.* FROM o SEMI JOIN q ON o.w = q.w),
+ n1 AS (SELECT b.doc_id, b.p, r.* FROM b JOIN r ON b.w = r.t1),
+ n2 AS (SELECT * FROM n1 WHERE t2 IS NULL UNION ALL SELECT n1.* FROM n1 SEMI JOIN b ON b.doc_id = n1.doc_id AND b.w = n1.t2 AND b.p >= n1.p - 30 AND b.p <= n1.p + 30),
+ n3 AS (SELECT * FROM n2 WHERE t3 IS NULL UNION ALL SELECT n2.* FROM n2 SEMI JOIN b ON b.doc_id = n2.doc_id AND b.w = n2.t3 AND b.p >= n2.p - 30 AND b.p <= n2.p + 30),
+ n4 AS (SELECT * FROM n3 WHERE t4 IS NULL UNION ALL SELECT n3.* FROM n3 SEMI JOIN b ON b.doc_id = n3.doc_id AND b.w = n3.t4 AND b.p >= n3.p - 30 AND b.p <= n3.p + 30),
+ n5 AS (SELECT * FROM n4 WHERE t5 IS NULL UNION ALL SELECT n4.* FROM n4 SEMI JOIN b ON b.doc_id = n4.doc_id AND b.w = n4.t5 AND b.p >= n4.p - 30 AND b.p <= n4.p + 30),
+ x AS (SELECT doc_id, count(DISTINCT item_id) AS n_near_items FROM n5 JOIN iw USING (win) GROUP BY 1),
  t AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY 1)
- SELECT d.doc_id, len(d.ws) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items, coalesce(t.items_sha256, sha256('')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+ SELECT d.doc_id, len(d.ws) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items, coalesce(t.items_sha256, sha256('')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated, coalesce(x.n_near_items, 0) AS n_near_items FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN x USING (doc_id)""",
 }
 
 
