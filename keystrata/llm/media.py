@@ -175,8 +175,8 @@ def read_store(spark: SparkSession, path: str, id_col: str = "doc_id", id_type:
     """Read every file back and describe it: a row for each stored row.
 
     Files are put together from their chunks in order, and their SHA-256 must be the one that was noted
-    when they were stored; a damaged file, or one of which some chunks are missing, raises an error, and
-    one of which no chunk is left has nulls. Equal files are put together once.
+    when they were stored; a damaged file, or one of which chunks are missing, raises an error. Equal
+    files are put together once.
     """
     ship_package(spark)
     kind = id_type
@@ -223,6 +223,8 @@ def read_store(spark: SparkSession, path: str, id_col: str = "doc_id", id_type:
 
     built = fetched.join(own, "media_sha", "left").select("media_sha", "got", "own").mapInArrow(together, f"media_sha binary, {described}")
     rest = partial.select(id_col, "n_bytes", "media_sha").join(materialize(built, "media"), "media_sha", "left").drop("media_sha")
+    lost = F.raise_error(F.lit("all chunks are lost of a stored file")).cast("string")
+    rest = rest.withColumn("media_sha256", F.coalesce("media_sha256", lost))
     return complete.unionByName(rest)
 
 
