@@ -1,7 +1,8 @@
 """Personal data in texts, with DataFrame functions only.
 
-Regular expressions propose spans, checksums confirm them (Luhn for cards, mod 97 for account
-numbers), and words near a span raise its score. Positions come from splitting a text at the matches:
+Regular expressions propose spans, checksums confirm them (Luhn for cards, mod 97 for international
+account numbers), and words near a span, on either side, raise its score. What has no checksum of its
+own, as a plain account number, counts only with such a word. Positions come from splitting a text at the matches:
 the lengths of the parts between them add up to where each match begins, in code points.
 
 The expressions below find what the plain ones in the comments find, leftmost and not overlapping,
@@ -15,33 +16,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("iban",)
+ADDED_KINDS = ("iban", "account")
 #: Java forms of: email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+, ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+),
-#: card [0-9]([\x20-]?[0-9])+, phone \+[0-9][\x20().0-9-]+[0-9]; iban in one piece or in groups of four.
+#: card [0-9]([\x20-]?[0-9])+, phone \+[0-9][\x20().0-9-]+[0-9]; iban in one piece or in groups of four; account a number of 8 to 12 digits.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9_])",
+    "account": r"(?<![A-Za-z0-9_])[0-9]{8,12}(?![A-Za-z0-9_])",
 }
 #: What a text must hold for its expression to be tried at all.
 GATES = {"email": "@", "phone": "+"}
 DIGIT = "[0-9]"
 IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+#: Words of which one must stand whole within CONTEXT_CHARS characters before or after a span.
 CONTEXT = {
-    "email": "mail|contact|write|address",
+    "email": "mail|email|contact|write|address",
     "ip": "ip|server|host|address|login",
     "card": "card|credit|debit|visa|payment|pay",
-    "phone": "phone|call|tel|mobile|fax",
+    "phone": "phone|telephone|call|tel|mobile|fax",
     "iban": "iban|account|bank|transfer|konto",
+    "account": "account|acct|konto|compte|cuenta",
 }
-BASE_SCORE = {"email": 0.6, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.7}
+BASE_SCORE = {"email": 0.6, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.7, "account": 0.3}
 CONTEXT_SCORE = 0.3
 CONTEXT_CHARS = 40
 #: Added kinds count from this score on; the base kinds always do.
 LEAST_SCORE = 0.5
 
+
+def context_pattern(kind: str) -> str:
+    """A word of the kind between borders: anything but ASCII letters, digits and _, or an end of what is looked at."""
+    return f"(?:^|[^a-z0-9_])(?:{CONTEXT[kind]})(?:[^a-z0-9_]|$)"
+
+
 SPAN = "struct<s:int,e:int,t:string>"
 
 
@@ -78,6 +88,7 @@ VALID = {
     "card": lambda t: F.length(_digits(t)).between(16, 19) & luhn(_digits(t)),
     "phone": lambda t: F.length(_digits(t)).between(8, 15),
     "iban": lambda t: F.length(F.replace(t, F.lit(" "), F.lit(""))).between(15, 34) & mod97(t),
+    "account": lambda t: F.lit(True),
 }
 
 
@@ -98,15 +109,23 @@ def _spans(kind: str, matches: Column, lengths: Column) -> Column:
     return F.when(F.size(matches) > 0, placed).otherwise(empty)
 
 
+def fresh_name(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs begins with, in capitals or not."""
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name = "_" + name
+    return name
+
+
 def find_spans(docs: DataFrame, text_col: str = "text", into: str = "pii_spans") -> DataFrame:
     """docs with one more column: an array of (kind, s, e, score), by kind as listed and then start.
 
-    A null or empty text has none. Every other column and row stays as it is; a column named `into`,
-    or beginning with `into` and two underscores, would be replaced.
+    A null or empty text has none. Every other column and row stays as it is; a column named `into` is
+    replaced. A base kind's span always counts; an added kind's counts from LEAST_SCORE on.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     kinds = (*KINDS, *ADDED_KINDS)
-    tmp = lambda kind, what: f"{into}__{kind}_{what}"
+    own = fresh_name(docs, "pii")
+    tmp = lambda kind, what: f"{own}_{kind}_{what}"
     none = F.array().cast("array<string>")
     out = docs.withColumns({tmp(k, "m"): F.when(F.contains(text, F.lit(GATES[k])) if k in GATES else text.rlike(DIGIT), F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))).otherwise(none) for k in kinds})
     out = out.withColumns({tmp(k, "p"): F.when(F.size(tmp(k, "m")) > 0, F.transform(F.split(text, PATTERNS[k], -1), F.length)) for k in kinds})
@@ -115,7 +134,8 @@ def find_spans(docs: DataFrame, text_col: str = "text", into: str = "pii_spans")
     def scored(kind: str) -> Column:
         def score(x: Column) -> Column:
             begin = F.greatest(x["s"] - CONTEXT_CHARS, F.lit(0))
-            near = F.lower(F.substr(text, begin + 1, x["s"] - begin)).rlike(CONTEXT[kind])
+            sides = (F.substr(text, begin + 1, x["s"] - begin), F.substr(text, x["e"] + 1, F.lit(CONTEXT_CHARS)))
+            near = F.lower(sides[0]).rlike(context_pattern(kind)) | F.lower(sides[1]).rlike(context_pattern(kind))
             return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), (F.lit(BASE_SCORE[kind]) + F.when(near, CONTEXT_SCORE).otherwise(0.0)).alias("score"))
 
         spans = F.transform(F.col(tmp(kind, "s")), score)
@@ -146,9 +166,9 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span in text_col replaced by its kind in square brackets; of spans that overlap,
     the one that begins first gives the kind and all their characters go. Null texts stay null."""
-    found = find_spans(docs, text_col, "pii_spans")
+    found = find_spans(docs, text_col, into := fresh_name(docs, "spans"))
     text = F.col(text_col)
-    order = F.array_sort(F.transform("pii_spans", lambda x: F.struct(x["s"], x["e"], x["kind"])))
+    order = F.array_sort(F.transform(into, lambda x: F.struct(x["s"], x["e"], x["kind"])))
 
     def cut(state: Column, x: Column) -> Column:
         fresh = x["s"] >= state["pos"]
@@ -157,4 +177,4 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
     built = F.aggregate(order, start, cut, lambda state: F.concat(F.array_join(state["out"], ""), F.substr(text, state["pos"] + 1)))
-    return found.withColumn(text_col, F.when(F.size("pii_spans") > 0, built).otherwise(text)).drop("pii_spans")
+    return found.withColumn(text_col, F.when(F.size(into) > 0, built).otherwise(text)).select(*docs.columns)

@@ -116,6 +116,7 @@ def _pii_sql() -> str:
         "card": r"[0-9](?:[\x20-]?[0-9])+",
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
         "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b",
+        "account": r"\b[0-9]{8,12}\b",
     }
     digits, compact = "regexp_replace(t, '[^0-9]', '', 'g')", "replace(t, ' ', '')"
     turned = f"substr({compact}, 5) || substr({compact}, 1, 4)"
@@ -125,16 +126,18 @@ def _pii_sql() -> str:
         "card": f"length({digits}) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length({digits}) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(substr({digits}, length({digits}) - k + 1, 1) AS INT) ELSE (CAST(substr({digits}, length({digits}) - k + 1, 1) AS INT) * 2) % 10 + (CAST(substr({digits}, length({digits}) - k + 1, 1) AS INT) * 2) // 10 END)) % 10 = 0",
         "phone": f"length({digits}) BETWEEN 8 AND 15",
         "iban": f"length({compact}) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split({turned}, ''), lambda c: ascii(c))), lambda a, x: CASE WHEN x >= 65 THEN (a * 100 + x - 55) % 97 ELSE (a * 10 + x - 48) % 97 END) = 1",
+        "account": "true",
     }
+    near = lambda k, part: f"regexp_matches(lower({part}), '{pii.context_pattern(k)}')"
     kinds = " UNION ALL ".join(
-        f"""SELECT doc_id, {i} AS place, '{k}' AS kind, s, s + length(t) AS e, CAST({pii.BASE_SCORE[k]} AS DOUBLE) + CAST(CASE WHEN regexp_matches(lower(substr(text, greatest(s - {pii.CONTEXT_CHARS}, 0) + 1, least(s, {pii.CONTEXT_CHARS}))), '{pii.CONTEXT[k]}') THEN {pii.CONTEXT_SCORE} ELSE 0 END AS DOUBLE) AS score
+        f"""SELECT doc_id, {i} AS place, '{k}' AS kind, s, s + length(t) AS e, CAST({pii.BASE_SCORE[k]} AS DOUBLE) + CAST(CASE WHEN {near(k, f"substr(text, greatest(s - {pii.CONTEXT_CHARS}, 0) + 1, least(s, {pii.CONTEXT_CHARS}))")} OR {near(k, f"substr(text, s + length(t) + 1, {pii.CONTEXT_CHARS})")} THEN {pii.CONTEXT_SCORE} ELSE 0 END AS DOUBLE) AS score
  FROM (SELECT doc_id, text, ms[i] AS t, CAST(list_sum(parts[1:i]) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda m: length(m))), 0) AS BIGINT) AS s
   FROM (SELECT doc_id, text, ms, parts, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, text, regexp_extract_all(text, '{plain[k]}') AS ms, list_transform(string_split_regex(text, '{plain[k]}'), lambda p: length(p)) AS parts FROM documents))) WHERE {valid[k]}"""
         for i, k in enumerate(plain)
     )
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in plain)
     joined = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY place, s)"
-    return f"""WITH f AS ({kinds}), g AS (SELECT doc_id, {counts}, {joined} AS spans, {joined} FILTER (place < 4) AS base, max(score) AS top_score FROM f GROUP BY 1)
+    return f"""WITH p AS ({kinds}), f AS (SELECT * FROM p WHERE place < {len(pii.KINDS)} OR score >= {pii.LEAST_SCORE}), g AS (SELECT doc_id, {counts}, {joined} AS spans, {joined} FILTER (place < 4) AS base, max(score) AS top_score FROM f GROUP BY 1)
  SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in plain)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, top_score FROM documents d LEFT JOIN g USING (doc_id)"""
 
 

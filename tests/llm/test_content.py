@@ -132,8 +132,8 @@ def test_damage_is_found(spark, docs, tmp_path):
 
     shutil.rmtree(f"{tmp_path}/store/chunks")
     (tmp_path / "store" / "chunks").mkdir()
-    broken = media.read_store(spark, path).where("media_sha256 is null").count()
-    assert broken > 0
+    with pytest.raises(Exception, match="lost"):
+        media.read_store(spark, path).collect()
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -179,6 +179,23 @@ def test_spans_equal_plain_expressions(spark, docs, texts):
     assert accounts["n_iban"] == 2 and accounts["top_score"] == 1.0
 
 
+def test_context_words_decide(spark):
+    rows = ["my account: 123456789012", "give 123456789012 to them", "123456789012 is the ACCOUNT", "accounts 123456789012 subaccount", "account" + " x" * 30 + " 12345678", "account 1234567 and 1234567890123 and a12345678", "ship 1.2.3.4", "ip 1.2.3.4", "1.2.3.4 hosts", "1.2.3.4 (host)"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = [(r["n_account"], r["spans"], r["top_score"]) for r in pii.report(frame).orderBy("doc_id").collect()]
+    assert [g[0] for g in got] == [1, 0, 1, 0, 0, 0, 0, 0, 0, 0]
+    assert got[0][1] == "account:12:24" and got[1][1] == "" and got[0][2] == pytest.approx(0.6)
+    assert [g[2] for g in got[6:]] == pytest.approx([0.5, 0.8, 0.5, 0.8])
+    assert pii.mask(frame).orderBy("doc_id").first()["text"] == "my account: [account]"
+
+
+def test_masking_keeps_columns_of_any_name(spark):
+    names = ["pii_spans", "pii_spans__card_m", "pii_card_m", "PII", "spans", "_spans", "e", "s"]
+    frame = spark.createDataFrame([(1, "mail a@b.co", *names)], ["doc_id", "text", *names])
+    out = pii.mask(frame)
+    assert out.columns == frame.columns and tuple(out.first())[1:] == ("mail [email]", *names)
+
+
 def test_masking(spark):
     frame = spark.createDataFrame([(0, "é write to a.b@c.de now +49 30 1234567"), (1, None), (2, ""), (3, "4111111111111111@x.yz!")], "doc_id bigint, text string")
     got = [r["text"] for r in pii.mask(frame).orderBy("doc_id").collect()]
