@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keystrata.llm.names import fresh_name
+
 KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "account")
 #: Java forms of: email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+, ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+),
@@ -109,13 +111,6 @@ def _spans(kind: str, matches: Column, lengths: Column) -> Column:
     return F.when(F.size(matches) > 0, placed).otherwise(empty)
 
 
-def fresh_name(docs: DataFrame, name: str) -> str:
-    """A name that no column of docs begins with, in capitals or not."""
-    while any(c.lower().startswith(name) for c in docs.columns):
-        name = "_" + name
-    return name
-
-
 def find_spans(docs: DataFrame, text_col: str = "text", into: str = "pii_spans") -> DataFrame:
     """docs with one more column: an array of (kind, s, e, score), by kind as listed and then start.
 

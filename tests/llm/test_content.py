@@ -5,6 +5,8 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,6 +297,104 @@ def test_pipeline_stages(spark, pipeline, sf_dir, tmp_path):
     assert last.count() == counts[-1] and [n for n, _ in pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "personal_data", "tokens"]
 
 
+@pytest.fixture(scope="module")
+def edge_dir(spark, tmp_path_factory, texts, passage):
+    """Documents with nulls, repeated rows and ids, and clashing columns; few labels; a small benchmark."""
+    folder = f"file://{tmp_path_factory.mktemp('edge')}"
+    rows = [*enumerate(texts), (None, "no id at all"), (None, "no id at all"), (None, None), (50, "one text of fifty here"), (50, "quite another of the same id"), (51, "repeated row of words"), (51, "repeated row of words")]
+    rows += [(60, f"mail x@y.zz and {passage[:40]}"), (61, "bad " * 30)]
+    names = "lang string, source string, n_chars bigint, pii_spans string, __bucket int, toxicity__score string, doubtful int, score string, likely int, spans int"
+    spark.createDataFrame([(i, t, None, "s", 3, "p", 1, "t", 2, "s", 3, 4) for i, t in rows], "doc_id bigint, text string, " + names).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(3, 0), (None, 1), (7, None)], "doc_id bigint, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, passage), (None, "three word item"), (2, None)], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder, rows
+
+
+def test_pipeline_stages_on_edge_rows(spark, pipeline, edge_dir, tmp_path):
+    from tests.llm.test_matching import brute_components, brute_hits
+
+    folder, rows = edge_dir
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns = docs.columns
+    kept = sorted(rows, key=repr)
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == columns
+        out.write.parquet(f"file://{tmp_path}/{name}")
+        docs = spark.read.parquet(f"file://{tmp_path}/{name}")
+        got = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=repr)
+        if name == "toxicity":  # two labels that count, of one class: no evidence
+            assert got == kept
+        elif name == "near_duplicates":
+            least = {i: c for i, _, c in brute_components([r for r in kept if r[0] is not None])}
+            kept = sorted(set(r for r in kept if r[0] is None or least[r[0]] == r[0]), key=repr)
+            assert got == kept
+        elif name == "decontamination":
+            with_passage = {r for r in kept if brute_hits([r], [(1, dict(rows)[14])])[0][-1]}
+            assert with_passage
+            kept = [r for r in kept if r not in with_passage]
+            assert got == kept
+        else:
+            masked = dict(got)[60]
+            assert len(got) == len(kept) and masked.startswith("mail [email] and") and [r for r in got if r[0] != 60] == [r for r in kept if r[0] != 60]
+    tokens = pipeline.STAGES[-1][1](spark, docs, folder)
+    assert tokens.count() == len(kept)
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"file://{tmp_path}/none/{t}.parquet")
+    assert pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_scores_equal_sums_of_weights_in_plain_python(spark, sf_dir):
+    """The margins of toxicity and language machines of held-out rows, recomputed character by character."""
+    import math
+
+    from keystrata.llm.ngrams import _CODES
+
+    codes, mask = [int(c) for c in _CODES], 0xFFFFFFFF
+
+    def grams(text, sizes, bits):
+        data = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+        for n in sizes:
+            for i in range(len(data) - n + 1):
+                h = 0
+                for b in data[i : i + n]:
+                    h = (h * 0x9E3779B1 + codes[b]) & mask
+                yield (((h ^ (h >> 15)) * 0x85EBCA6B) & mask) >> (32 - bits)
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = docs.where((fold(5) == 0) & (F.length("text") < 3000)).limit(25).union(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable=fold(5) != 0)
+    assert model.weights.any()
+    for r in toxicity.score_documents(held, model).collect():
+        z = model.bias + sum(float(model.weights[g]) for g in set(grams(r["text"], toxicity.SIZES, toxicity.BITS)))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), rel=1e-4)
+    machines = langid.fit(docs, usable=fold(4) != 2)
+    for r in langid.predict(held, machines).collect():
+        found = list(grams(r["text"], langid.SIZES, langid.BITS))
+        margin = {p: sum(float(machines.weights[g, k]) for g in found) / max(1, len(found)) + float(machines.bias[k]) for k, p in enumerate(machines.pairs)}
+
+        def winner(names, margin=margin):
+            votes = {n: sum((m > 0) == (p[0] == n) for p, m in margin.items() if n in p and set(p) <= set(names)) for n in names}
+            sums = {n: sum((1 if p[0] == n else -1) * math.tanh(m) for p, m in margin.items() if n in p and set(p) <= set(names)) for n in names}
+            return max(names, key=lambda n: (votes[n], sums[n]))
+
+        expected = winner(machines.languages[winner(machines.families)]) if any(map(str.isalpha, r["text"] or "")) else "und"
+        assert r["lang_pred"] == expected
+
+
+def test_long_texts_are_scored_as_they_would_be_in_one_piece(spark, monkeypatch):
+    rng = random.Random(2)
+    text = " ".join(rng.choice(["alpha", "beta", "Gamma", "été"]) + str(rng.randint(0, 50)) for _ in range(3000))
+    model = toxicity.Model(np.random.default_rng(3).normal(0, 0.01, 1 << toxicity.BITS).astype(np.float32), 0.1)
+    frame = spark.createDataFrame([(1, text), (2, "short")], "doc_id bigint, text string")
+    whole = [r["score"] for r in toxicity.score_documents(frame, model).orderBy("doc_id").collect()]
+    batch = pa.RecordBatch.from_arrays([pa.array([text])], names=["t"])
+    one = toxicity._presence(batch, 0, None)
+    monkeypatch.setattr(toxicity, "SLICE", 500)
+    assert np.array_equal(toxicity._presence(batch, 0, None), one)
+    assert len(whole) == 2
+
+
 def test_a_model_without_evidence_rejects_nothing(spark, pipeline, docs, tmp_path):
     for i, rows in enumerate(([], [(1, 1)], [(9999, 0)])):
         spark.createDataFrame(rows, "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/{i}/labels.parquet")
