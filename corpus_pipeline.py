@@ -1,5 +1,9 @@
 """Documents made ready for training: toxic ones out, one of each group of near duplicates, none with
-benchmark passages, personal data masked, and the rest as byte-level BPE tokens."""
+benchmark passages, personal data masked, and the rest as byte-level BPE tokens.
+
+Nulls in any column, empty and very long texts, repeated rows and empty tables are taken by every stage;
+what each does with them is said there. Columns besides doc_id and text pass through, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 
 from keystrata.llm import bpe, decontam, jaccard, pii, toxicity
 from keystrata.llm.idfilter import mark_likely
+from keystrata.llm.names import fresh_name
 from keystrata.llm.queries import remainder, table
 from keystrata.runtime import materialize
 
@@ -21,22 +26,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=remainder(5) != 0)
     if not model.weights.any():
         return docs
-    scored = toxicity.score_documents(docs, model, into="toxicity__score")
-    return scored.where(F.col("toxicity__score") < TOXIC_FROM).select(*docs.columns)
+    score = fresh_name(docs, "score")
+    return toxicity.score_documents(docs, model, into=score).where(F.col(score) < TOXIC_FROM).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group; of rows that share an id, one. Texts without words are no duplicates.
+    """The document of the smallest id of each group. Texts without words are no duplicates.
 
-    Texts of documents that cannot be among the dropped ones stay where they are; only the others are
-    shuffled to be told apart.
+    Rows that share an id are one document: all of them stay or go, but of those with equal texts one
+    stays. A row without an id is in nobody's group; of such rows with equal texts one stays. Texts
+    of documents that cannot be among the dropped ones stay where they are; only the others are shuffled
+    to be told apart.
     """
     groups = materialize(jaccard.jaccard_components(docs), "groups")
     dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
     repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    marked = mark_likely(docs, materialize(dropped.union(repeated).distinct(), "doubtful"), "doc_id", "__doubtful")
-    doubtful = marked.where("__doubtful").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return marked.where("not __doubtful").unionByName(doubtful).select(*docs.columns)
+    flag = fresh_name(docs, "doubtful")
+    marked = mark_likely(docs, materialize(dropped.union(repeated).distinct(), "doubtful"), "doc_id", flag)
+    doubtful = marked.where(F.col(flag)).join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return marked.where(~F.col(flag)).unionByName(doubtful).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
