@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keystrata.functions.records import is_live, record_size
 from keystrata.operators.resolve import RECENCY, latest
+from keystrata.plans.positions import StorePosition
 
 
 def snapshot(log: DataFrame, now_ns: int) -> DataFrame:
@@ -52,3 +53,24 @@ def diff(left: DataFrame, right: DataFrame, now_ns: int) -> DataFrame:
     a = latest(left).where(is_live(now_ns)).select("key", F.col("value").alias("left_value"))
     b = latest(right).where(is_live(now_ns)).select("key", F.col("value").alias("right_value"))
     return a.join(b, "key", "full_outer").where(~F.col("left_value").eqNullSafe(F.col("right_value")))
+
+
+def reached_state(term: Column, segment: Column, offset: Column, seq: Column, own_term: int, here: StorePosition, applied: StorePosition) -> Column:
+    """REACHED, STALE or SUPERSEDED of a store for a column of positions: the rule of positions.reached."""
+    zero = (term == 0) & (segment == 0) & (offset == 0) & (seq == 0)
+
+    def come(at: StorePosition) -> Column:
+        by_place = F.when(F.lit(at.segment) != segment, F.lit(at.segment) > segment).otherwise(F.lit(at.log.offset) >= offset)
+        return F.when((seq != 0) & F.lit(at.log.seq != 0), F.lit(at.log.seq) >= seq).otherwise(by_place)
+
+    own = F.lit(applied.is_zero) | (term > applied.term)
+    done = F.when(own, come(here)).otherwise(come(applied))
+    state = F.when(done, "REACHED").otherwise("STALE")
+    return F.when(zero, "REACHED").when(term > own_term, "STALE").when(~own & (term < applied.term), "SUPERSEDED").otherwise(state)
+
+
+def resumable(catalog: DataFrame) -> DataFrame:
+    """segment_id and allowed of a catalog (segment_id, dropped): whether a follower can go on by number from
+    a segment, which it can if nothing was dropped there or later. One number is broadcast."""
+    last = catalog.agg(F.max(F.when(F.col("dropped"), F.col("segment_id"))).alias("__last"))
+    return catalog.join(F.broadcast(last)).select("segment_id", (F.col("__last").isNull() | (F.col("segment_id") > F.col("__last"))).alias("allowed"))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrata.functions.records import is_live, record_size
-from keystrata.operators.resolve import latest
+from keystrata.operators.resolve import RECENCY, latest, wide_columns
+from keystrata.runtime import materialize
 from keystrata.schema import SEGMENT_BYTES
 
 
@@ -22,16 +23,30 @@ def running_bytes(rows: DataFrame, size: Column, into: str = "offset") -> DataFr
     return sized.withColumn("__inside", inside).join(before, "segment_id").withColumn(into, (F.col("__before") + F.col("__inside")).cast("bigint")).drop("__size", "__inside", "__before")
 
 
+def placed(log: DataFrame, now_ns: int | None = None) -> DataFrame:
+    """The newest record of every key (live ones only, if now_ns is given) with `size`, its bytes, and
+    `new_pos`, the bytes of the kept records before it. Sizes go through the resolution as a number, so it
+    runs once, on fixed columns, and values are fetched once, for the records that are kept."""
+    values = wide_columns(log)
+    sized = log.select("key", *[c for c in log.columns if c not in ("key", *values)], record_size().alias("size"))
+    rows = latest(sized)
+    kept = materialize(rows if now_ns is None else rows.where(is_live(now_ns)), "places")
+    out = running_bytes(kept, F.col("size"), "new_pos")
+    if values:
+        out = out.join(log.select("key", *RECENCY, *values), ["key", *RECENCY])
+    return out.select(*log.columns, "new_pos", "size")
+
+
 def compact(log: DataFrame, now_ns: int) -> DataFrame:
     """The live records, verbatim, in their old order, with the place each gets in the new log and its size."""
-    return running_bytes(latest(log).where(is_live(now_ns)), record_size(), "new_pos").withColumn("size", record_size())
+    return placed(log, now_ns)
 
 
-def merge(log: DataFrame, segments: list[int], drop: bool, now_ns: int) -> DataFrame:
+def merge(log: DataFrame, segments: list[int] | range, drop: bool, now_ns: int) -> DataFrame:
     """The one segment that takes the place of a run of segments: the newest version of each key among
     them, under the oldest one's id. Tombstones and expired records go only with drop, which is right
     only if the run reaches the oldest segment; else they must go on hiding older versions."""
-    kept = latest(log.where(F.col("segment_id").isin(*segments)))
+    kept = latest(log.where(in_run(segments)))
     kept = kept.where(is_live(now_ns)) if drop else kept
     # Records keep their order: older segments first. The old place stays for reference.
     return kept.withColumns({"from_segment": F.col("segment_id"), "from_pos": F.col("pos")}).withColumn("segment_id", F.lit(min(segments)).cast("bigint"))
@@ -40,10 +55,18 @@ def merge(log: DataFrame, segments: list[int], drop: bool, now_ns: int) -> DataF
 def merged_store(log: DataFrame, segments: list[int], drop: bool, now_ns: int) -> DataFrame:
     """The whole log with the run merged. A merged record's place within its new segment is one number
     that keeps the order of (old segment, old place)."""
-    new = merge(log, segments, drop, now_ns)
-    new = running_bytes(new.withColumns({"segment_id": F.col("from_segment"), "pos": F.col("from_pos")}), record_size(), "new_pos")
+    new = placed(log.where(in_run(segments)), now_ns if drop else None)
     new = new.withColumns({"segment_id": F.lit(min(segments)).cast("bigint"), "pos": F.col("new_pos")})
-    return log.where(~F.col("segment_id").isin(*segments)).unionByName(new.select(*log.columns))
+    return log.where(~in_run(segments)).unionByName(new.select(*log.columns))
+
+
+def in_run(segments: list[int] | range) -> Column:
+    """Whether a record lies in one of these segments. A run of neighbours is a range, however long."""
+    if isinstance(segments, range) and segments.step == 1 and len(segments):
+        return F.col("segment_id").between(segments[0], segments[-1])
+    ids = sorted(segments)
+    between = F.col("segment_id").between(ids[0], ids[-1])
+    return between if ids[-1] - ids[0] + 1 == len(ids) else between & F.col("segment_id").isin(*ids)
 
 
 def rotate(rows: DataFrame, segment_bytes: int = SEGMENT_BYTES, store: str = "store", first_segment: int = 1) -> DataFrame:

@@ -22,9 +22,14 @@ def get(log: DataFrame, keys: list, now_ns: int, view: Column | None = None) ->
 
 
 def modified(log: DataFrame, now_ns: int, keys: list | None = None) -> DataFrame:
-    """key, status and write time of the newest record; deleted and expired keys have a time too."""
-    rows = log if keys is None else log.where(F.col("key").isin(*keys))
-    return latest(rows.select("key", "segment_id", "pos", "rtype", "expires_ns", "ts_ns")).select("key", status(now_ns).alias("status"), "ts_ns")
+    """key, status and write time of the newest record; deleted and expired keys have a time too. Of
+    `keys`, if given, those without a record are NOT_FOUND, without a time."""
+    narrow = log.select("key", "segment_id", "pos", "rtype", "expires_ns", "ts_ns")
+    if keys is None:
+        return latest(narrow).select("key", status(now_ns).alias("status"), "ts_ns")
+    asked = log.sparkSession.createDataFrame([(k,) for k in dict.fromkeys(keys)], f"key {log.schema['key'].dataType.simpleString()}")
+    found = latest(narrow.where(F.col("key").isin(*keys) if keys else F.lit(False)))
+    return asked.join(found, "key", "left").select("key", status(now_ns).alias("status"), "ts_ns")
 
 
 def walk(log: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ A log ends at its first bad record, so recovery is a prefix of each segment, not
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,26 +19,26 @@ def verify(log: DataFrame, computed: Column, stored: str = "crc") -> DataFrame:
     return log.where(F.col(stored) != computed).groupBy("segment_id").agg(F.min("pos").alias("pos"))
 
 
-def condemn_batches(log: DataFrame, good: Column) -> DataFrame:
-    """log with `good` (whether a record's own checks pass) and `unit_pos`, where the record's unit begins:
-    a record of a batch stands or falls with the whole batch, from its marker on."""
-    unit = F.coalesce(F.col("batch_pos"), F.col("pos"))
-    marked = log.withColumns({"unit_pos": unit, "good": good})
-    whole = F.bool_and("good").over(Window.partitionBy("segment_id", "unit_pos"))
-    return marked.withColumn("good", whole)
+def unit_pos() -> Column:
+    """Where a record's unit begins: a record of a batch stands or falls with the batch, from its marker on."""
+    return F.coalesce(F.col("batch_pos"), F.col("pos"))
+
+
+def cuts(log: DataFrame, good: Column) -> DataFrame:
+    """segment_id and cut, where its first bad unit begins, of each damaged segment: the least beginning of the
+    bad records' units, so only these are looked at, and nothing is sorted."""
+    return log.where(~good).groupBy("segment_id").agg(F.min(unit_pos()).alias("cut"))
 
 
 def recover(log: DataFrame, good: Column) -> DataFrame:
     """The records before the first bad unit of each segment."""
-    checked = condemn_batches(log, good)
-    cut = checked.where("not good").groupBy("segment_id").agg(F.min("unit_pos").alias("cut"))
-    return checked.join(cut, "segment_id", "left").where(F.col("cut").isNull() | (F.col("unit_pos") < F.col("cut"))).select(*log.columns)
+    return log.join(cuts(log, good), "segment_id", "left").where(F.col("cut").isNull() | (unit_pos() < F.col("cut"))).select(*log.columns)
 
 
 def discarded_bytes(log: DataFrame, good: Column, end: str = "next_pos") -> DataFrame:
     """Bytes of each segment from its first bad unit to its end."""
-    checked = condemn_batches(log, good)
-    return checked.groupBy("segment_id").agg(F.min(F.when(~F.col("good"), F.col("unit_pos"))).alias("cut"), F.max(end).alias("size")).select("segment_id", F.coalesce(F.col("size") - F.col("cut"), F.lit(0)).cast("bigint").alias("discarded"))
+    found = log.groupBy("segment_id").agg(F.min(F.when(~good, unit_pos())).alias("cut"), F.max(end).alias("size"))
+    return found.select("segment_id", F.coalesce(F.col("size") - F.col("cut"), F.lit(0)).cast("bigint").alias("discarded"))
 
 
 def whole_batches(log: DataFrame, batch: str, expected: Column, size: Column | None = None) -> DataFrame:

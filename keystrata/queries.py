@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from keystrata.functions.records import record_size, status
 from keystrata.operators import bloom, feed, resolve, rewrite, scan, stats, verify
 from keystrata.plans import maintenance
+from keystrata.plans.positions import LogPosition, StorePosition
 from keystrata.runtime import scratch_path
 from keystrata.sources import segments
+from keystrata.sources.store import LogStore
 from keystrata.streaming import live
 
 NOW = 1706659200000000000
@@ -199,8 +201,8 @@ def merge_partial_keep(spark, sf_dir):
 @query(_merge_sql("segment_id < (SELECT max(segment_id) FROM log)", f" AND {IS_LIVE}"))
 def merge_full_drop(spark, sf_dir):
     log = event_log(spark, sf_dir)
-    ids = sorted(r[0] for r in log.select("segment_id").distinct().collect())  # a row for each segment
-    return rewrite.merge(log, ids[:-1], True, NOW).select("key", "value", "rtype", "from_segment", "from_pos", "segment_id")
+    ends = log.agg(F.min("segment_id"), F.max("segment_id")).first()
+    return rewrite.merge(log, range(ends[0], ends[1]), True, NOW).select("key", "value", "rtype", "from_segment", "from_pos", "segment_id")
 
 
 @query(f"{LATEST} SELECT key, value FROM latest WHERE {IS_LIVE}")
@@ -231,10 +233,10 @@ def pick_merge_run(spark, sf_dir):
     return maintenance.merge_run(catalog, TIER_BASE)
 
 
-@query(_run_sql("segment_id < 2"))
+@query(_run_sql("segment_id < 12"))
 def pick_merge_held(spark, sf_dir):
     catalog = event_log(spark, sf_dir).groupBy("segment_id").agg(F.sum(record_size()).alias("bytes"))
-    return maintenance.merge_run(catalog, TIER_BASE, held=2)
+    return maintenance.merge_run(catalog, TIER_BASE, held=12)
 
 
 @query(f"WITH {LOG} SELECT key, seq, lag(seq) OVER (PARTITION BY key ORDER BY segment_id, pos) AS previous_seq, lead(ts_ns) OVER (PARTITION BY key ORDER BY segment_id, pos) AS replaced_ns FROM log")
@@ -279,10 +281,11 @@ def recover_prefix(spark, sf_dir):
 
 @query(f"WITH {LOG} SELECT segment_id, min(pos) AS pos FROM log WHERE pos % 1009 = 300 GROUP BY 1")
 def verify_first_damage(spark, sf_dir):
-    """The first record of each segment whose stored checksum is not the one of its value."""
-    crc = F.crc32(F.col("value"))
-    log = event_log(spark, sf_dir).withColumn("crc", F.when(F.col("pos") % 1009 == 300, crc + 1).otherwise(crc))
-    return verify.verify(log, crc)
+    """The first record of each segment whose stored checksum is not the one of its bytes."""
+    raw = F.concat(F.lit(bytes(4)), F.encode(F.concat_ws("|", "key", "value", "seq"), "utf-8"))
+    log = event_log(spark, sf_dir).withColumn("raw", raw)
+    log = log.withColumn("crc", F.when(F.col("pos") % 1009 == 300, verify.checksum() + 1).otherwise(verify.checksum()))
+    return verify.verify(log, verify.checksum())
 
 
 @query(f"{LATEST} SELECT key, value, seq, ts_ns, expires_ns FROM latest WHERE {IS_LIVE}")
@@ -327,16 +330,17 @@ def apply_twice_idempotent(spark, sf_dir):
 @query(f"WITH {LOG}, p AS (SELECT segment_id AS segment, max(seq) + 1 AS seq FROM log GROUP BY 1) SELECT segment, CASE WHEN seq <= 700 THEN 'REACHED' ELSE 'STALE' END AS state FROM p")
 def reached_status(spark, sf_dir):
     """Which ends of segments a follower that has applied up to number 700 has reached."""
-    ends = event_log(spark, sf_dir).groupBy(F.col("segment_id").alias("segment")).agg((F.max("seq") + 1).alias("seq"))
-    return ends.select("segment", F.when(F.col("seq") <= 700, "REACHED").otherwise("STALE").alias("state"))
+    ends = event_log(spark, sf_dir).groupBy(F.col("segment_id").alias("segment")).agg((F.max("seq") + 1).alias("seq"), (F.max("pos") + 1).alias("offset"))
+    applied = StorePosition(1, 2, LogPosition(700, 699, 0, 700))
+    state = feed.reached_state(F.lit(1), F.col("segment"), F.col("offset"), F.col("seq"), 1, StorePosition(1, 1), applied)
+    return ends.select("segment", state.alias("state"))
 
 
 @query(f"WITH {LOG}, c AS (SELECT segment_id, max(seq) AS max_seq, segment_id = 2 AS dropped FROM log GROUP BY 1) SELECT segment_id, NOT EXISTS (SELECT 1 FROM c d WHERE d.segment_id >= c.segment_id AND d.dropped) AS allowed FROM c")
 def resume_allowed(spark, sf_dir):
     """From which segments a follower can go on by number, if segment 2 was rewritten with records dropped."""
     catalog = event_log(spark, sf_dir).groupBy("segment_id").agg(F.max("seq").alias("max_seq")).withColumn("dropped", F.col("segment_id") == 2)
-    onward = Window.orderBy(F.desc("segment_id"))  # a row for each segment
-    return catalog.select("segment_id", (~F.bool_or("dropped").over(onward)).alias("allowed"))
+    return feed.resumable(catalog)
 
 
 @query(f"{LATEST} SELECT key, segment_id, pos, 'KEY_MISMATCH' AS problem FROM (SELECT CASE WHEN pos % 7 = 0 THEN 'x' || key ELSE key END AS key, segment_id, pos, pos % 7 = 0 AS broken FROM latest) WHERE broken")
@@ -384,6 +388,63 @@ def bloom_no_false_negative(spark, sf_dir):
     return hits.agg(F.countDistinct("key").alias("probed"), F.count_if(~F.col("maybe")).alias("missed"))
 
 
+QUARTER = "n AS (SELECT (max(event_id) + 4) // 4 AS q FROM events)"
+
+
+def _leader(spark, sf_dir):
+    """A store and the event log in four frames, to be appended one after another."""
+    log = event_log(spark, sf_dir).withColumn("ord", F.col("pos"))
+    quarter = (log.agg(F.max("pos")).first()[0] + 4) // 4
+    frames = [log.where(F.col("pos").between(k * quarter, (k + 1) * quarter - 1)).select("ord", "key", "value", "rtype", "expires_ns") for k in range(4)]
+    return LogStore(spark, scratch_path(spark, "leader"), segment_bytes=40_000), frames
+
+
+def _text(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), *more)
+
+
+@query(f"{LATEST} SELECT key, value FROM latest WHERE {IS_LIVE}")
+def store_replica_live(spark, sf_dir):
+    """A follower that takes a snapshot of half a store's life, and then follows it by batches through merges."""
+    leader, frames = _leader(spark, sf_dir)
+    follower = LogStore(spark, scratch_path(spark, "follower"), segment_bytes=40_000)
+    for frame in frames[:2]:
+        leader.append(frame, 1)
+    rows, pos, release = leader.snapshot(0)
+    follower.apply_snapshot(rows, pos)
+    for frame in frames[2:]:
+        leader.append(frame, 2)
+        leader.maintain(0)
+    for rows, start, end in leader.follow(pos):
+        follower.apply(rows, start, end)
+    release()
+    return _text(scan.for_each(follower.read(), NOW))
+
+
+@query(f"WITH {LOG}, {QUARTER} SELECT key, value, seq FROM log, n WHERE pos >= 2 * q AND pos < 3 * q")
+def store_since_unit(spark, sf_dir):
+    """One call for the feed with a small limit gives one whole frame."""
+    leader, frames = _leader(spark, sf_dir)
+    for frame in frames[:2]:
+        leader.append(frame, 1)
+    pos = leader.position()
+    for frame in frames[2:]:
+        leader.append(frame, 2)
+    return _text(leader.since(pos, 1)[0], "seq")
+
+
+@query(f"{LATEST} SELECT key, value, seq FROM latest WHERE {IS_LIVE}")
+def store_merged_live(spark, sf_dir):
+    """The live records of a store after all its merges."""
+    leader, frames = _leader(spark, sf_dir)
+    for frame in frames:
+        leader.append(frame, 1)
+        leader.maintain(NOW)
+    leader.rotate()
+    leader.merge_all(NOW)
+    return _text(leader.read(), "seq")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

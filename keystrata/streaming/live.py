@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -18,22 +19,31 @@ def latest_stream(log: DataFrame) -> DataFrame:
     return latest(log)
 
 
-def follow_into(changes: DataFrame, store: LogStore, clock_ns: Callable[[], int], checkpoint: str, name: str = "follower", available_now: bool = True) -> StreamingQuery:
+def _stream_id(store: LogStore, checkpoint: str) -> str:
+    """The identity of the stream whose state is in a checkpoint: restarts keep it, a new checkpoint has another."""
+    return json.loads(store.spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
+
+
+def follow_into(changes: DataFrame, store: LogStore, clock_ns: Callable[[], int], checkpoint: str, name: str | None = None, available_now: bool = True) -> StreamingQuery:
     """Append every micro-batch of (ord, key, value, rtype, expires_ns) to a store as one atomic batch.
-    A batch that is delivered again after a failure is known by its number and not taken in twice."""
+    The store keeps the highest batch number of every stream, known by its checkpoint, so a batch that is
+    delivered again after a failure is not taken in twice, whatever other streams wrote meanwhile."""
 
     def take(batch: DataFrame, number: int) -> None:
-        store.append(batch, clock_ns(), applied=f"{name}:{number}")
+        store.append(batch, clock_ns(), applied=f"{_stream_id(store, checkpoint)}:{number}")
 
-    writer = changes.writeStream.queryName(name).foreachBatch(take).option("checkpointLocation", checkpoint)
+    writer = changes.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+    writer = writer.queryName(name) if name else writer
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def group_commit(changes: DataFrame, store: LogStore, clock_ns: Callable[[], int], checkpoint: str, every: str = "1 second") -> StreamingQuery:
-    """What arrives within an interval becomes one batch of the store: writers wait for one commit, not for one each."""
+    """What arrives within an interval becomes one batch of the store: writers wait for one commit, not for
+    one each. How much may wait is the source's limit (maxFilesPerTrigger and the like); to close, stop
+    the query after processAllAvailable."""
 
     def take(batch: DataFrame, number: int) -> None:
-        store.append(batch, clock_ns(), applied=f"group:{number}")
+        store.append(batch, clock_ns(), applied=f"{_stream_id(store, checkpoint)}:{number}")
 
     return changes.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
