@@ -396,7 +396,7 @@ def _leader(spark, sf_dir):
     log = event_log(spark, sf_dir).withColumn("ord", F.col("pos"))
     quarter = (log.agg(F.max("pos")).first()[0] + 4) // 4
     frames = [log.where(F.col("pos").between(k * quarter, (k + 1) * quarter - 1)).select("ord", "key", "value", "rtype", "expires_ns") for k in range(4)]
-    return LogStore(spark, scratch_path(spark, "leader"), segment_bytes=40_000), frames
+    return LogStore(spark, scratch_path(spark, "leader"), segment_bytes=8_000), frames
 
 
 def _text(rows: DataFrame, *more: str) -> DataFrame:
