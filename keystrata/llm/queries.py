@@ -37,8 +37,8 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
-    docs = table(spark, sf_dir, "documents")
-    tokenfiles.write_token_files(tokenfiles.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1), docs, path)
+    docs = tokenfiles.arrange(table(spark, sf_dir, "documents"))
+    tokenfiles.write_token_files(tokenfiles.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1), path)
     return tokenfiles.summarize_token_files(spark, path)
 
 

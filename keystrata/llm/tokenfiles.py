@@ -26,6 +26,8 @@ MEMO_BYTES = 64
 SLICE = 1 << 20
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 1000
+FILE_BYTES = 128 << 20
+LEAST_FILE_BYTES = 8 << 20
 
 # What a byte of a text is: white space, or part of a run of letters, a digit, part of a run of other
 # characters, or something that makes its whole word one for the library alone.
@@ -195,49 +197,47 @@ def _encoder(data: bytes) -> WordEncoder:
     return _encoders[key]
 
 
+def arrange(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> DataFrame:
+    """(id, text) of docs, dealt to `files` partitions by ranges of ids and sorted in each; null ids come first.
+
+    So texts are shuffled, which are smaller than their tokens, and each is encoded once, after it. By
+    default there is a file for every FILE_BYTES of text, and as many as spark.sql.shuffle.partitions
+    as long as each has LEAST_FILE_BYTES.
+    """
+    rows = docs.select(id_col, text_col)
+    if files is None:
+        volume = rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        most = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        files = max(1, -(-volume // FILE_BYTES), min(most, -(-volume // LEAST_FILE_BYTES)))
+    return rows.repartitionByRange(files, id_col).sortWithinPartitions(id_col)
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids) for each row of docs, the end id appended. A null text counts as empty.
-    No shuffle; repeated rows give repeated results; other columns are not read."""
+    """(id, n_tokens, ids, part) for each row of docs, in its order: the end id is appended, and part is the
+    number of the row's partition. A null text counts as empty. No shuffle; repeated rows give repeated
+    results; other columns are not read."""
     spark = docs.sparkSession
     ship_package(spark)
     with open(tokenizer_path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value)
+        from pyspark import TaskContext
+
+        encoder, part = _encoder(shared.value), TaskContext.get().partitionId()
         for batch in sliced(batches, text_col, SLICE):
             ids, at = encoder.encode_slice(*text_bytes(batch.column(1)))
             ids = np.insert(ids, at[1:], end_id)
             at += np.arange(len(at))
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), lists], names=[id_col, "n_tokens", "ids"])
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens bigint, ids array<int>")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), lists, pa.array(np.full(batch.num_rows, part, np.int32))], names=[id_col, "n_tokens", "ids", "part"])
 
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens bigint, ids array<int>, part int")
 
-def write_token_files(encoded: DataFrame, ids: DataFrame, path: str, id_col: str = "doc_id", files: int | None = None, encoding: str = "dictionary", codec: str = "zstd") -> None:
-    """Write (id, n_tokens, ids) in ascending order of ids to `files` Parquet files.
 
-    The bounds between files are quantiles of the ids (a frame that has the same id column, such as the
-    documents), so the tokens are computed once and shuffled once. Each file holds about as many documents as any other; a file's rows also carry its
-    number as `part`. Only the bounds, one for each file, come to the driver. Null ids come first.
-    """
-    spark = encoded.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [k / files for k in range(1, files)]
-    bounds = (ids.select(id_col).agg(F.percentile_approx(id_col, shares, 100 * files).alias("b")).first()["b"] if shares else None) or []
-    part = F.lit(0)
-    if bounds := sorted(set(bounds)):
-        # The number of bounds below an id, by bisection, so that the expression is as deep as log2 of the files.
-        def bisect(lo: int, hi: int):
-            if lo == hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(F.coalesce(F.col(id_col) > bounds[mid], F.lit(False)), bisect(mid + 1, hi)).otherwise(bisect(lo, mid))
-
-        part = bisect(0, len(bounds))
-    dealt = encoded.withColumn("part", part).repartitionById(files, "part").sortWithinPartitions(id_col)
-    writer = dealt.write.mode("overwrite").option("compression", codec).option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.row.count.limit", PAGE_ROWS)
+def write_token_files(encoded: DataFrame, path: str, encoding: str = "dictionary", codec: str = "zstd") -> None:
+    """Write encoded documents, arranged before, as Parquet: a file for each partition, ids ascending over all files."""
+    writer = encoded.write.mode("overwrite").option("compression", codec).option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.row.count.limit", PAGE_ROWS)
     if encoding == "delta":
         writer = writer.option("parquet.enable.dictionary", "false").option("parquet.writer.version", "PARQUET_2_0")
     elif encoding != "dictionary":
@@ -245,8 +245,15 @@ def write_token_files(encoded: DataFrame, ids: DataFrame, path: str, id_col: str
     writer.parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_token_files(spark: SparkSession, path: str, low=None, high=None, id_col: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
+    """The stored rows with low <= id < high, and only the named columns: the bounds reach the files' row groups
+    and pages by their statistics, so that other documents' tokens are not read."""
+    rows = spark.read.parquet(path)
+    if low is not None:
+        rows = rows.where(F.col(id_col) >= low)
+    if high is not None:
+        rows = rows.where(F.col(id_col) < high)
+    return rows.select(*columns) if columns else rows
 
 
 def summarize_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:

@@ -10,6 +10,7 @@ import public_tokenizers as P
 import pytest
 import sentencepiece
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from keystrata.llm import bpe, tokencount, tokenfiles
@@ -85,7 +86,7 @@ def test_token_files(spark, docs, no_docs, texts, tmp_path, encoding):
     path = f"file://{tmp_path}/{encoding}"
     name = P.path("word_bpe_49k.json")
     again = docs.union(docs.where("doc_id = 13"))  # a repeated row
-    tokenfiles.write_token_files(tokenfiles.encode_documents(again, name, 1), again, path, files=3, encoding=encoding)
+    tokenfiles.write_token_files(tokenfiles.encode_documents(tokenfiles.arrange(again, files=3), name, 1), path, encoding)
     got = sorted(tuple(r) for r in tokenfiles.summarize_token_files(spark, path).collect())
     t, expected, start = Tokenizer.from_file(name), [], 0
     for i, text in sorted([*enumerate(texts), (13, texts[13])]):
@@ -104,11 +105,24 @@ def test_token_files(spark, docs, no_docs, texts, tmp_path, encoding):
     column = pq.ParquetFile(files[0]).metadata.row_group(0).column(2)
     assert column.has_offset_index and column.has_column_index
     assert any("DICTIONARY" in e if encoding == "dictionary" else "DELTA" in e for e in column.encodings)
+    some = tokenfiles.read_token_files(spark, path, 3, 9, columns=["doc_id", "n_tokens"])
+    assert sorted(r["doc_id"] for r in some.collect()) == [3, 4, 5, 6, 7, 8]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,3)" in plan and "ids" not in plan.split("ReadSchema")[1]
     empty = f"file://{tmp_path}/{encoding}-none"
-    tokenfiles.write_token_files(tokenfiles.encode_documents(no_docs, name, 1), no_docs, empty)
+    tokenfiles.write_token_files(tokenfiles.encode_documents(tokenfiles.arrange(no_docs), name, 1), empty)
     assert tokenfiles.summarize_token_files(spark, empty).count() == 0
 
 
+def test_files_follow_the_volume(spark, monkeypatch):
+    frame = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a b "), 50).alias("text"))
+    assert tokenfiles.arrange(frame).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(tokenfiles, "LEAST_FILE_BYTES", 1000)
+    assert tokenfiles.arrange(frame).rdd.getNumPartitions() == 4  # as many as shuffle partitions
+    monkeypatch.setattr(tokenfiles, "FILE_BYTES", 1000)
+    assert tokenfiles.arrange(frame).rdd.getNumPartitions() == 8
+
+
 def test_word_encoder_is_the_library():
     with open(P.path("word_bpe_49k.json"), "rb") as f:
         data = f.read()
