@@ -36,9 +36,22 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about limit bytes of text; a longer text stands alone. When they have
-    all been taken, the worker gives memory it has freed back to the system: it may live on idle."""
+_memories: dict[str, dict] = {}
+
+
+def own_memory(owner: str) -> dict:
+    """What the tasks of one operator keep in their worker process. A worker serves the tasks of many stages,
+    so whatever another operator has kept there is dropped."""
+    for other in [o for o in _memories if o != owner]:
+        del _memories[other]
+    return _memories.setdefault(owner, {})
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, owner: str = "") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about limit bytes of text; a longer text stands alone. The worker forgets
+    what operators other than `owner` have kept, and when all rows have been taken, it gives the memory
+    it has freed back to the system: it may live on idle."""
+    own_memory(owner)
     for batch in batches:
         if not batch.num_rows:
             continue

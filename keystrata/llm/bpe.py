@@ -13,19 +13,22 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from keystrata.llm.arrowtext import own_memory, sliced
 from keystrata.llm.memo import Memo
 from keystrata.runtime import ship_package
 
-#: Words, pairs of tokens and prefixes of pieces that a worker remembers, some 100 MB of each.
-MEMO_ENTRIES = 1 << 19
-PAIR_ENTRIES = 1 << 20
-PREFIX_ENTRIES = 1 << 20
+#: Remembered words, matches of the pattern, pairs of tokens and prefixes of a worker, of some 100 to 200 bytes each.
+WORD_ENTRIES = 1 << 15
+PIECE_ENTRIES = 1 << 17
+PAIR_ENTRIES = 1 << 18
+PREFIX_ENTRIES = 1 << 19
+SLICE = 1 << 19
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -194,7 +197,11 @@ class Encoder:
         # White space as Unicode defines it, which leaves out the separators U+001C to U+001F.
         self._find = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self._prefixes: dict[bytes, int] = {}
-        self._words = Memo(self._word, MEMO_ENTRIES)
+        self._words = Memo(self._word, WORD_ENTRIES)
+        self._pieces = Memo(self._packed_piece, PIECE_ENTRIES)
+
+    def _packed_piece(self, piece: str) -> bytes:
+        return np.array(self._piece(piece), np.int32).tobytes()
 
     def _piece(self, piece: str) -> list[int]:
         data = piece.encode()
@@ -235,34 +242,53 @@ class Encoder:
             end -= len(v.bytes_of[token])
         return out[::-1]
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
         return self._encode_run(" " + word)
 
-    def _encode_run(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self._piece, self._find(text))))
+    def _encode_run(self, text: str) -> bytes:
+        known, find = self._pieces.young.get, self._pieces.find
+        return b"".join([known(p) or find(p) for p in self._find(text)])
 
-    def encode(self, text: str) -> list[int]:
+    def encode_packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit integers, end to end."""
         words = text.split(" ") if _BEFORE_SPACE.search(text) is None else _WORD_BREAK.split(text)
         known, find = self._words.young.get, self._words.find
-        ids = list(self._encode_run(words[0]))
-        ids += chain.from_iterable([known(w) or find(w) for w in words[1:]])
-        return ids
+        return self._encode_run(words[0]) + b"".join([known(w) or find(w) for w in words[1:]])
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_packed(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
 
 
+class Ragged:
+    """Byte strings by number, to be joined for arrays of numbers."""
+
+    def __init__(self, parts: list[bytes]):
+        self.size = np.array([len(p) for p in parts], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(parts), np.uint8)
+
+    def joined(self, numbers: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the strings of all numbers, end to end; where those of numbers[at[k]] begin, for each k)."""
+        size = self.size[numbers]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        out = self.data[np.repeat(self.begin[numbers] - ends[:-1], size) + np.arange(int(ends[-1]))]
+        return out, ends[at]
+
+
 _BEFORE_SPACE = re.compile(r" (?!\S)")
 _WORD_BREAK = re.compile(r" (?=\S)")
-_encoders: dict[str, Encoder] = {}
 
 
 def _encoder(data: bytes, pattern: str) -> Encoder:
     key = hashlib.sha256(data + pattern.encode()).hexdigest()
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(read_ranks(data), pattern)
-    return _encoders[key]
+    held = own_memory("bpe")
+    if key not in held:
+        held.clear()
+        held[key] = Encoder(read_ranks(data), pattern)
+    return held[key]
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -279,17 +305,22 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, pattern)
-        names = [str(i) for i in range(max(encoder.vocabulary.bytes_of, default=0) + 1)]
-        for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                ids = encoder.encode(text.as_py() or "")
-                coded = ",".join(map(names.__getitem__, ids)).encode()
-                rows.append((len(ids), hashlib.sha256(coded).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest(), ids if keep_ids else None))
-            columns = [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
+        most = max(encoder.vocabulary.bytes_of, default=0) + 1
+        decimals = Ragged([b"%d," % i for i in range(most)])
+        contents = Ragged([encoder.vocabulary.bytes_of.get(i, b"") for i in range(most)])
+        for batch in sliced(batches, text_col, SLICE, "bpe"):
+            packed = [encoder.encode_packed(t or "") for t in batch.column(1).to_pylist()]
+            at = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed], dtype=np.int64)))
+            ids = np.frombuffer(b"".join(packed), np.int32)
+            coded, coded_at = decimals.joined(ids, at)
+            decoded, decoded_at = contents.joined(ids, at)
+            spans = lambda ends: zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+            ids_sha = [hashlib.sha256(coded[a : max(a, b - 1)]).hexdigest() for a, b in spans(coded_at)]
+            decoded_sha = [hashlib.sha256(decoded[a:b]).hexdigest() for a, b in spans(decoded_at)]
+            columns = [batch.column(0), pa.array(np.diff(at)), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             fields = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                columns.append(pa.array([r[3] for r in rows], pa.list_(pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)))
                 fields.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=fields)
 

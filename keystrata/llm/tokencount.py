@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from keystrata.llm.arrowtext import own_memory
 from keystrata.runtime import ship_package
 
 SPACE = "▁"
@@ -255,15 +256,15 @@ class PieceCounter:
 
 _PRETOKENS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _PRETOKENS_WHOLE_LINES = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_counters: dict[str, PieceCounter] = {}
 
 
 def _counter(model: bytes) -> PieceCounter:
     key = hashlib.sha256(model).hexdigest()
-    if key not in _counters:
-        _counters.clear()
-        _counters[key] = PieceCounter(model)
-    return _counters[key]
+    held = own_memory("tokencount")
+    if key not in held:
+        held.clear()
+        held[key] = PieceCounter(model)
+    return held[key]
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,7 +282,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(shared.value)
-        for batch in sliced(batches, text_col):
+        for batch in sliced(batches, text_col, owner="tokencount"):
             _, offsets = text_bytes(batch.column(1))
             n = np.array(counter.counts(batch.column(1).to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])

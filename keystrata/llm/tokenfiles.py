@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.arrowtext import LOWER, run_hashes, same_runs, sliced, text_bytes
+from keystrata.llm.arrowtext import LOWER, own_memory, run_hashes, same_runs, sliced, text_bytes
 from keystrata.runtime import ship_package
 
 #: Pieces that an encoder remembers at most; one longer than MEMO_BYTES is encoded anew each time.
@@ -186,15 +186,15 @@ class WordEncoder:
         return self.encode_slice(*text_bytes(pa.array([text], pa.string())))[0]
 
 
-_encoders: dict[str, WordEncoder] = {}
 
 
 def _encoder(data: bytes) -> WordEncoder:
     key = hashlib.sha256(data).hexdigest()
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = WordEncoder(data)
-    return _encoders[key]
+    held = own_memory("tokenfiles")
+    if key not in held:
+        held.clear()
+        held[key] = WordEncoder(data)
+    return held[key]
 
 
 def arrange(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> DataFrame:
@@ -225,7 +225,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
         from pyspark import TaskContext
 
         encoder, part = _encoder(shared.value), TaskContext.get().partitionId()
-        for batch in sliced(batches, text_col, SLICE):
+        for batch in sliced(batches, text_col, SLICE, "tokenfiles"):
             ids, at = encoder.encode_slice(*text_bytes(batch.column(1)))
             ids = np.insert(ids, at[1:], end_id)
             at += np.arange(len(at))
