@@ -38,6 +38,12 @@ def walk(log: DataFrame) -> DataFrame:
     return log.where(F.col("rtype").isin(NORMAL, DELETED)).select("segment_id", "pos", "key", "value", (F.col("rtype") == DELETED).alias("deleted"))
 
 
+def lines(log: DataFrame) -> DataFrame:
+    """A line of text for every record of the walk, with its place, for show() and text files."""
+    text = F.concat(F.lit("Key: "), F.col("key").cast("string"), F.lit(", Value: "), F.col("value").cast("string"), F.lit(", Deleted: "), F.col("deleted").cast("string"))
+    return walk(log).select("segment_id", "pos", text.alias("line"))
+
+
 def for_each(log: DataFrame, now_ns: int) -> DataFrame:
     """key and value of every live key, in no order."""
     return latest(log.select("key", "segment_id", "pos", "rtype", "expires_ns", "value")).where(is_live(now_ns)).select("key", "value")

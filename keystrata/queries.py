@@ -84,6 +84,11 @@ def walk_records(spark, sf_dir):
     return scan.walk(event_log(spark, sf_dir))
 
 
+@query(f"WITH {LOG} SELECT segment_id, pos, 'Key: ' || key || ', Value: ' || value || ', Deleted: ' || CASE WHEN rtype = 1 THEN 'true' ELSE 'false' END AS line FROM log")
+def record_lines(spark, sf_dir):
+    return scan.lines(event_log(spark, sf_dir))
+
+
 @query(f"{LATEST} SELECT key, segment_id, pos FROM latest")
 def index_latest(spark, sf_dir):
     return resolve.latest(event_log(spark, sf_dir).select("key", "segment_id", "pos"))

@@ -95,10 +95,11 @@ def decode_at(data: bytes, pos: int, end: int | None = None) -> Decoded:
     return Decoded(pos, stop, record, crc, zlib.crc32(data[pos + 4 : stop]) == crc)
 
 
-def walk(data: bytes) -> Iterator[Decoded]:
-    """The records of a log in order, without markers; a batch comes as a whole or not at all. Raises
-    Corrupt where the log cannot be followed; single records come whether their checksums hold or not."""
-    pos = 0
+def walk(data: bytes, start: int = 0) -> Iterator[Decoded]:
+    """The records of a log in order from the unit at `start` on, without markers; a batch comes as a whole or
+    not at all. Raises Corrupt where the log cannot be followed; single records come whether their
+    checksums hold or not."""
+    pos = start
     while pos < len(data):
         d = decode_at(data, pos)
         if d.record.rtype != MARKER:

@@ -87,6 +87,24 @@ def test_a_position_that_was_merged_away(spark, tmp_path):
         leader.since(pos)
 
 
+def test_writer_sweeps_what_waits_and_drains(spark, tmp_path):
+    from keystrata.sources.store import Closed
+    from keystrata.streaming.live import Writer, merge_in_background
+
+    store = LogStore(spark, f"file://{tmp_path}/store", segment_bytes=100)
+    end = merge_in_background(store, lambda: 0, 0.2)
+    writer = Writer(store, lambda: 3, queue=8)
+    done = [writer.write(b"k%d" % (i % 5), None if i == 29 else b"v%d" % i) for i in range(30)]
+    writer.close()
+    assert all(f.done() and f.exception() is None for f in done)
+    with pytest.raises(Closed):
+        writer.write(b"x", b"y")
+    end()
+    store.refresh()
+    assert live(store) == {b"k%d" % k: b"v%d" % (25 + k) for k in range(4)}
+    assert store.manifest.next_seq == 31 and store.manifest.version < 25
+
+
 def test_terms_fence_the_old_leader(spark, tmp_path):
     one, two = (LogStore(spark, f"file://{tmp_path}/{n}") for n in ("one", "two"))
     one.append(changes(spark, (b"a", b"1")), 1)
