@@ -21,8 +21,9 @@ The plan, all of it distributed:
    of the whole sorted arrays.
 5. Components come from alternating large-star and small-star rounds over the links.
 
-No partner or candidate is capped, and nothing that grows with the data is broadcast or collected,
-but for the counters (1 MB) and one number for each round.
+Shingles are told apart by 64-bit hashes and sets by 128-bit digests of these, so results are exact up to
+collisions of about 2^-64 a pair of shingles. No partner or candidate is capped, and nothing that
+grows with the data is broadcast or collected, but for the counters (1 MB) and one number for each round.
 """
 
 from __future__ import annotations
@@ -272,8 +273,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of fewer than 5 words is one shingle; a null or empty one, or one without words, has none, and is
     alone in its component. component_id is the smallest id reachable by links of similarity 0.8 or
     more, itself included. Repeated rows give repeated results. Rows that share an id count as one
-    document in the links (each is compared, and what links one links them all). Ids must not be null.
-    Other columns are not read.
+    document in the links (each is compared, and what links one links them all). Ids must be whole numbers;
+    text that is none raises an error. A row without an id links nobody; it has the component of a row
+    with an equal set, and null without one. Other columns are not read.
     """
     members, reps, holders, few, posted = _tiles(docs, id_col, text_col)
     tiles = posted.withColumn("component", F.col("rep"))

@@ -83,6 +83,14 @@ def test_components_of_rows_that_share_an_id(spark):
     assert got == [(3, 2, 3), (5, 2, 3), (5, 2, 3), (7, 0, 7), (9, 0, 9), (9, 0, 9)]
 
 
+def test_components_of_rows_without_an_id(spark):
+    rows = [(5, "a b c d e f"), (None, "a b c d e f"), (None, "other words"), (None, None), (8, "g h i j k l")]
+    got = sorted((tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=repr)
+    assert got == sorted([(5, 2, 5), (None, 2, 5), (None, 1, None), (None, 0, None), (8, 2, 8)], key=repr)
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT|NumberFormat"):
+        jaccard.jaccard_components(spark.createDataFrame([("x1", "a b")], "doc_id string, text string")).collect()
+
+
 def test_components_of_nothing(no_docs):
     assert jaccard.jaccard_components(no_docs).count() == 0
 
