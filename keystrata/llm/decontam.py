@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from keystrata.llm.arrowtext import give_back, sliced, text_bytes, words
 from keystrata.llm.tables import sum_tables
-from keystrata.runtime import materialize, ship_package
+from keystrata.runtime import discard, materialize, ship_package
 
 WINDOW = 10
 NEAR_TERMS = 5
@@ -33,6 +33,7 @@ NEAR_DISTANCE = 30
 BLOCK_BYTES = 4 << 20
 #: The index holds the words whose hash falls on a slot, of 2^FILTER_BITS, of some benchmark word.
 FILTER_BITS = 20
+CHAINED = 3
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[0x30:0x3A] = True
@@ -307,10 +308,15 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
     """The rows of docs, all columns, in which no window of the benchmark occurs; rows with a null or
     empty text stay. Each block of the benchmark is a filter after the one before, on postings that are
     made as the texts pass by and looked up as those of the stored index: no shuffle, no join. A
-    window's terms are ranked by their counts in docs."""
-    out, place = docs, docs.columns.index(text_col)
+    window's terms are ranked by their counts in docs. What is left is written after every CHAINED blocks,
+    so that a task never holds more than these."""
+    out, place, written = docs, docs.columns.index(text_col), None
     ship_package(docs.sparkSession)
-    for queries in _blocks(benchmark, item_col, item_text_col):
+    for number, queries in enumerate(_blocks(benchmark, item_col, item_text_col)):
+        if number and number % CHAINED == 0:
+            out = materialize(out, "clean")
+            discard(written)
+            written = out
         block = docs.sparkSession.sparkContext.broadcast(queries)
 
         def fill(table: np.ndarray, batches: Iterator[pa.RecordBatch], block=block) -> None:
