@@ -7,6 +7,7 @@ operations. Memory follows the slice (a few MB of text, or one text if that is l
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +43,12 @@ _memories: dict[str, dict] = {}
 def own_memory(owner: str) -> dict:
     """What the tasks of one operator keep in their worker process. A worker serves the tasks of many stages,
     so whatever another operator has kept there is dropped."""
-    for other in [o for o in _memories if o != owner]:
-        del _memories[other]
+    others = [o for o in _memories if o != owner and _memories[o]]
+    for other in others:
+        _memories[other].clear()
+    if others:
+        gc.collect()  # what was kept may hold itself in a circle
+        give_back()
     return _memories.setdefault(owner, {})
 
 

@@ -27,7 +27,7 @@ from keystrata.runtime import ship_package
 WORD_ENTRIES = 1 << 15
 PIECE_ENTRIES = 1 << 17
 PAIR_ENTRIES = 1 << 18
-PREFIX_ENTRIES = 1 << 19
+PREFIX_ENTRIES = 1 << 18
 SLICE = 1 << 19
 
 

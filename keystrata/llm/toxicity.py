@@ -30,7 +30,7 @@ MAX_FEATURES = 100_000
 LEAST_G = 10.83
 LEAST_RATIO = 1.0
 #: Bytes of text whose n-grams a worker holds at a time, some 60 bytes of memory for each.
-SLICE = 1 << 19
+SLICE = 1 << 18
 
 
 @dataclass

@@ -114,6 +114,21 @@ def test_token_files(spark, docs, no_docs, texts, tmp_path, encoding):
     assert tokenfiles.summarize_token_files(spark, empty).count() == 0
 
 
+def test_a_worker_forgets_what_another_operator_kept(encoder):
+    import weakref
+
+    from keystrata.llm import arrowtext
+
+    with open(RANK_FILE, "rb") as f:
+        data = f.read()
+    kept = weakref.ref(bpe._encoder(data, P.PATTERN))
+    assert bpe._encoder(data, P.PATTERN) is kept()
+    list(arrowtext.sliced(iter([]), "text", owner="bpe"))
+    assert kept() is not None
+    list(arrowtext.sliced(iter([]), "text"))
+    assert kept() is None
+
+
 def test_files_follow_the_volume(spark, monkeypatch):
     frame = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a b "), 50).alias("text"))
     assert tokenfiles.arrange(frame).rdd.getNumPartitions() == 1
