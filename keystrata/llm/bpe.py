@@ -25,8 +25,8 @@ from keystrata.runtime import ship_package
 
 #: Remembered words, matches of the pattern, pairs of tokens and prefixes of a worker, of some 100 to 200 bytes each.
 WORD_ENTRIES = 1 << 15
-PIECE_ENTRIES = 1 << 17
-PAIR_ENTRIES = 1 << 18
+PIECE_ENTRIES = 1 << 16
+PAIR_ENTRIES = 1 << 17
 PREFIX_ENTRIES = 1 << 18
 SLICE = 1 << 19
 
