@@ -9,6 +9,9 @@ The plan, all of it distributed:
    each of these shingles and of its size band and the one above. The order puts frequent shingles
    last, by counts in a fixed table of 2^20 counters taken over the whole corpus, so that a passage
    that very many documents share opens no tile of its own unless documents consist of it.
+   Tiles with the same members are one. A pair is due at the first shingle that it shares, in the larger
+   set's band: what follows there in both sets bounds its overlap, so most of the tiles that a pair shares
+   never make it, and sets that even the tile's smallest one rules out are not in the tile.
 3. Shingles that two or three sets share give their pairs at once. Within larger tiles, sets are first
    held against two of the tile's sets only, a number of pairs that grows with the tile and not with its
    square. Their links join sets to components. Only tiles that then still hold more than one component
@@ -248,7 +251,8 @@ def _tiles(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, ...]
 
     # Tokens of representatives (a few copies may pass: their links are their class's links as well).
     listed = keep_likely(some.select(id_col, "n", "tokens"), classes.select("rep"), id_col)
-    tokens = listed.select(F.col(id_col).alias("rep"), "n", F.explode("tokens").alias("token"))
+    # `rest`: how many of the set's shingles come from this one on, in the order of all shingles.
+    tokens = listed.select(F.col(id_col).alias("rep"), "n", F.posexplode("tokens").alias("place", "token")).withColumn("rest", F.col("n") - F.col("place"))
     # Most shingles are one document's own. Of those that two or three share, the smallest, the largest
     # and the XOR of all ids name every holder, and so every pair, without a join.
     holders = tokens.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bit_xor("rep").alias("x"), F.count("*").alias("c"))
@@ -260,12 +264,36 @@ def _tiles(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, ...]
     # Size bands grow by the similarity, so partners lie in the same band or a neighbouring one.
     many = holders.where("c > 3").select("token")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT) + 1e-9).cast("int")
-    posted = keep_likely(tokens, many, "token").join(many, "token", "left_semi").select("token", "rep", "n", F.explode(F.array(band, band + 1)).alias("band")).join(reps.select("rep"), "rep", "left_semi").distinct()
-    tiles = materialize(posted, "tiles")
+    bands = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own"))))
+    posted = keep_likely(tokens, many, "token").join(many, "token", "left_semi").select("token", "rep", "n", "rest", bands.alias("of")).join(reps.select("rep"), "rep", "left_semi")
+    tiles = materialize(posted.groupBy("token", "of.band", "of.own", "rep", "n").agg(F.max("rest").alias("rest")), "tiles")
     discard(features, classes)
     return members, reps, holders, few, tiles
 
 
+def _different_tiles(tiles: DataFrame) -> DataFrame:
+    """The same sets in fewer tiles: of tiles with the same members one is left, as sets that share a passage meet
+    in a tile for each of its shingles. A member's `rest` is the largest of these, so the first shingle that
+    a pair shares is still bounded; one that is too small even for the tile's smallest set leaves it. Tiles without a set of their own band go: its pairs are made in the band below."""
+    who = F.struct("rep", "n")
+    digest = [F.bit_xor(F.xxhash64(who, F.lit(salt))).alias(f"d{salt}") for salt in (1, 2)]
+    spread = tiles.groupBy("token", "band").agg(*digest, F.count("*").alias("members"), F.max("own").alias("own"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.min("n").alias("least")).where("own and lo <> hi")
+    spread = materialize(spread.select("token", "band", "members", "d1", "d2", "least"), "spread")
+    key = ["band", "members", "d1", "d2"]
+    named = spread.join(spread.groupBy(*key).agg(F.min("token").alias("tile")), key).select("token", "band", "tile", "least")
+    merged = tiles.join(named, ["token", "band"]).groupBy(F.col("tile").alias("token"), "band", "own", "rep", "n", "least").agg(F.max("rest").alias("rest"))
+    merged = materialize(merged.where((100 + PERCENT) * F.col("rest") >= PERCENT * (F.col("n") + F.col("least"))).drop("least"), "merged")
+    discard(spread, tiles)
+    return merged
+
+
+def _first_shared(a: str, b: str) -> F.Column:
+    """Whether two sets of a tile (columns with these prefixes) may share the tile's shingle first, and this band
+    is the larger one's: what they share lies in the rest of both. A pair that links meets this in one tile."""
+    rest = F.least(F.col(a + "rest"), F.col(b + "rest"))
+    return (F.col(a + "own") | F.col(b + "own")) & ((100 + PERCENT) * rest >= PERCENT * (F.col(a + "n") + F.col(b + "n")))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs.
 
@@ -278,6 +306,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with an equal set, and null without one. Other columns are not read.
     """
     members, reps, holders, few, posted = _tiles(docs, id_col, text_col)
+    posted = _different_tiles(posted)
     tiles = posted.withColumn("component", F.col("rep"))
     found = known = waiting = nodes = None
     for turn in range(HUB_ROUNDS + 1):
@@ -298,9 +327,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             near = (near if turn else near.union(few)).distinct()
             near = near.join(_renamed(reps, "x").withColumnRenamed("xrep", "a"), "a").join(_renamed(reps, "y").withColumnRenamed("yrep", "b"), "b").where(_possible("x", "y"))
         else:
-            last = materialize(mixed.select("token", "band", "rep", "component").join(reps, "rep"), "mixed")
+            last = materialize(mixed.select("token", "band", "rep", "component", "own", "rest").join(reps, "rep"), "mixed")
             discard(posted)
-            condition = (F.col("xtoken") == F.col("ytoken")) & (F.col("xband") == F.col("yband")) & (F.col("xrep") < F.col("yrep")) & (F.col("xcomponent") != F.col("ycomponent")) & _possible("x", "y")
+            condition = (F.col("xtoken") == F.col("ytoken")) & (F.col("xband") == F.col("yband")) & (F.col("xrep") < F.col("yrep")) & (F.col("xcomponent") != F.col("ycomponent")) & _first_shared("x", "y") & _possible("x", "y")
             near = _renamed(last, "x").join(_renamed(last, "y"), condition).select(F.col("xrep").alias("a"), F.col("yrep").alias("b")).distinct()
         near = made = materialize(near.select("a", "b"), f"near{turn}")
         if turn == HUB_ROUNDS:
@@ -321,7 +350,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         nodes = connected_components(found)
         known = nodes.select(F.col("node").alias("rep"), "component")
         if turn < HUB_ROUNDS:
-            tiles = mixed.where("members > 3").select("token", "band", "rep", "n").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+            tiles = mixed.where("members > 3").select("token", "band", "own", "rep", "n", "rest").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     out = members.join(known, "rep", "left")
     return out.select(id_col, F.col("n").alias("n_shingles"), F.coalesce("component", "rep", F.col(id_col)).alias("component_id"))
 

@@ -63,6 +63,34 @@ def test_components_equal_brute_force(spark, docs, texts, passage):
     assert sorted(tuple(r) for r in jaccard.jaccard_components(frame).collect()) == brute_components(rows)
 
 
+def test_pairs_that_share_much_are_not_made_for_each_shingle(spark, monkeypatch):
+    """Near copies on either side of the limit, and texts around a long passage: few pairs are left to the last join."""
+    rng = random.Random(21)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
+    many = []
+    for c in range(30):
+        text = list(base)
+        for at in rng.sample(range(400), 3 + c % 6):
+            text[at] = f"e{rng.randint(0, 10**6)}"
+        many.append(" ".join(text))
+    passage = " ".join(f"p{rng.randint(0, 10**6)}" for _ in range(300))
+    many += [passage + " " + " ".join(f"u{rng.randint(0, 10**6)}" for _ in range(30 + 8 * k)) for k in range(8)]
+    compared, keep = [], jaccard.materialize
+
+    def watched(frame, name):
+        kept = keep(frame, name)
+        if name == "mixed":
+            compared.append(kept.groupBy("token", "band").count().selectExpr("coalesce(sum(count * (count - 1) / 2), 0)").first()[0])
+        return kept
+
+    monkeypatch.setattr(jaccard, "materialize", watched)
+    rows = list(enumerate(many))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(tuple(r) for r in jaccard.jaccard_components(frame).collect()) == brute_components(rows)
+    pairs = len(many) * (len(many) - 1) / 2
+    assert len(compared) == 1 and compared[0] <= 10 * pairs, compared  # a set is in up to 80 tiles and as many of the next band
+
+
 def test_links_equal_brute_force(spark, texts):
     rng = random.Random(14)
     many = [*texts]
