@@ -12,6 +12,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +25,12 @@ from keystrata.llm.arrowtext import own_memory, sliced
 from keystrata.llm.memo import Memo
 from keystrata.runtime import ship_package
 
-#: Remembered words, matches of the pattern, pairs of tokens and prefixes of a worker, of some 100 to 200 bytes each.
-WORD_ENTRIES = 1 << 15
-PIECE_ENTRIES = 1 << 16
+#: Remembered matches of the pattern and pairs of tokens of a worker, of some 100 to 200 bytes each.
+PIECE_ENTRIES = 5 << 15
 PAIR_ENTRIES = 1 << 18
-PREFIX_ENTRIES = 1 << 18
 SLICE = 1 << 19
+#: Characters of a text that are split into matches at a time.
+RUN_CHARS = 1 << 18
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -44,6 +46,16 @@ class Vocabulary:
         self._splits: dict[bytes, tuple | None] = {}
         self._edges: dict[int, list | None] = {}
         self.pairs: dict[int, bool] = {}
+        # By their last two or three bytes, the lengths of tokens, the longest first: few of all lengths come into question.
+        tails: dict[bytes, set] = {}
+        for data in ranks:
+            if len(data) > 1:
+                tails.setdefault(data[-3:], {1}).add(len(data))
+        for tail, lengths in tails.items():
+            if tail[-2:] in ranks:
+                lengths.add(2)
+        same: dict[tuple, tuple] = {}
+        self.tails = {tail: same.setdefault(t := tuple(sorted(lengths, reverse=True)), t) for tail, lengths in tails.items()}
 
     def merge(self, data: bytes) -> list[int]:
         """The tokens of data by its merges: the lowest rank first, the leftmost of equals."""
@@ -135,7 +147,11 @@ class PrefixTable:
     def _last_at(self, end: int) -> int:
         v, data, last = self.vocabulary, self.data, self.last
         known, pairs = v.ranks.get, v.pairs.get
-        for begin in range(max(0, end - v.longest), end):
+        tail = bytes(data[max(0, end - 3) : end])
+        for length in v.tails.get(tail) or v.tails.get(tail[-2:]) or (1,):
+            if length > end:
+                continue
+            begin = end - length
             token = known(bytes(data[begin:end]))
             if token is not None:
                 if begin:
@@ -189,44 +205,36 @@ class Encoder:
 
     The pattern must break a text before every space that text other than white space follows,
     as it does when a space can only begin a match or stand among white space. Texts are cut there
-    first, and the ids of a word are remembered.
+    first where they are long, and the ids of a match are remembered.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary = Vocabulary(ranks)
         # White space as Unicode defines it, which leaves out the separators U+001C to U+001F.
         self._find = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self._prefixes: dict[bytes, int] = {}
-        self._words = Memo(self._word, WORD_ENTRIES)
         self._pieces = Memo(self._packed_piece, PIECE_ENTRIES)
 
     def _packed_piece(self, piece: str) -> bytes:
-        return np.array(self._piece(piece), np.int32).tobytes()
-
-    def _piece(self, piece: str) -> list[int]:
         data = piece.encode()
         token = self.vocabulary.ranks.get(data)
         if token is not None:
-            return [token]
-        if len(data) > 64:
-            return PrefixTable(self.vocabulary, data).tokens()
-        return self._shared(data)
-
-    def _shared(self, data: bytes) -> list[int]:
-        """As PrefixTable does it, in one table for the prefixes of all pieces, as many begin alike."""
-        v, last = self.vocabulary, self._prefixes
-        if len(last) >= PREFIX_ENTRIES:
-            last.clear()
-        known, pairs, size = v.ranks.get, v.pairs.get, len(data)
-        done = size
-        while done and data[:done] not in last:
-            done -= 1
-        for end in range(done + 1, size + 1):
-            for begin in range(max(0, end - v.longest), end):
+            return token.to_bytes(4, sys.byteorder)
+        return array("i", PrefixTable(self.vocabulary, data).tokens() if len(data) > 64 else self._short(data)).tobytes()
+
+    def _short(self, data: bytes) -> list[int]:
+        """PrefixTable(data).tokens() without the table's calls, as most matches are short."""
+        v, size = self.vocabulary, len(data)
+        known, pairs, tails = v.ranks.get, v.pairs.get, v.tails.get
+        last: list[int] = []
+        for end in range(1, size + 1):
+            for length in (tails(data[end - 3 : end]) or tails(data[end - 2 : end]) or (1,)) if end > 2 else (2, 1):
+                if length > end:
+                    continue
+                begin = end - length
                 token = known(data[begin:end])
                 if token is not None:
                     if begin:
-                        before = last[data[:begin]]
+                        before = last[begin - 1]
                         fits = pairs(before << 32 | token)
                         if fits is None:
                             fits = v.adjacent(before, token)
@@ -234,26 +242,31 @@ class Encoder:
                         fits = v.reachable(token)
                     if fits:
                         break
-            last[data[:end]] = token
+            else:
+                raise ValueError(f"no token ends at byte {end}")
+            last.append(token)
         out, end = [], size
         while end:
-            token = last[data[:end]]
+            token = last[end - 1]
             out.append(token)
             end -= len(v.bytes_of[token])
         return out[::-1]
 
-    def _word(self, word: str) -> bytes:
-        return self._encode_run(" " + word)
-
     def _encode_run(self, text: str) -> bytes:
         known, find = self._pieces.young.get, self._pieces.find
         return b"".join([known(p) or find(p) for p in self._find(text)])
 
     def encode_packed(self, text: str) -> bytes:
         """The ids of a text as 32-bit integers, end to end."""
-        words = text.split(" ") if _BEFORE_SPACE.search(text) is None else _WORD_BREAK.split(text)
-        known, find = self._words.young.get, self._words.find
-        return self._encode_run(words[0]) + b"".join([known(w) or find(w) for w in words[1:]])
+        if len(text) <= RUN_CHARS:
+            return self._encode_run(text)
+        out, at = [], 0
+        while at < len(text):
+            cut = _WORD_BREAK.search(text, at + RUN_CHARS)
+            to = cut.start() if cut else len(text)
+            out.append(self._encode_run(text[at:to]))
+            at = to
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), np.int32).tolist()
@@ -278,7 +291,6 @@ class Ragged:
         return out, ends[at]
 
 
-_BEFORE_SPACE = re.compile(r" (?!\S)")
 _WORD_BREAK = re.compile(r" (?=\S)")
 
 

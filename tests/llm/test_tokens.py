@@ -43,6 +43,33 @@ def test_encoder_is_the_library(encoder, library, texts):
         assert encoder.decode(ids) == t.encode()
 
 
+def test_long_texts_in_runs_are_the_library(encoder, library, texts, monkeypatch):
+    monkeypatch.setattr(bpe, "RUN_CHARS", 7, raising=False)
+    for t in [*(t or "" for t in texts), *random_texts(1000, seed=4)]:
+        assert encoder.encode(t) == library.encode_ordinary(t)
+
+
+def test_new_words_look_at_few_tokens(library):
+    """A word that was not seen before costs a few looks for each byte, and not one for each place to its left."""
+
+    class Counting(dict):
+        looks = 0
+
+        def get(self, key, default=None):
+            self.looks += 1
+            return super().get(key, default)
+
+    ranks = Counting(bpe.read_ranks(open(RANK_FILE, "rb").read()))
+    encoder, rng = bpe.Encoder(ranks, P.PATTERN), random.Random(5)
+    syllables = "ba ter ing lo mi ra sen tion vo ky der un ñe ße 中文 ري".split()
+    words = ["".join(rng.choice(syllables) for _ in range(rng.randint(3, 8))) for _ in range(4000)]
+    assert encoder.encode(" ".join(words)) == library.encode_ordinary(" ".join(words))  # what pairs of tokens fit is known from here on
+    words = ["".join(rng.choice(syllables) for _ in range(rng.randint(3, 8))) for _ in range(1000)]
+    ranks.looks = 0
+    assert encoder.encode(" ".join(words)) == library.encode_ordinary(" ".join(words))
+    assert ranks.looks < 5 * len(" ".join(words).encode()), ranks.looks / len(" ".join(words).encode())
+
+
 def test_prefix_table_appends_and_edits(encoder):
     v, rng = encoder.vocabulary, random.Random(8)
     for _ in range(60):
