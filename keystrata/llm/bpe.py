@@ -25,8 +25,10 @@ from keystrata.llm.arrowtext import own_memory, sliced
 from keystrata.llm.memo import Memo
 from keystrata.runtime import ship_package
 
-#: Remembered matches of the pattern and pairs of tokens of a worker, of some 100 to 200 bytes each.
+#: Remembered matches of the pattern, beginnings of STEM_BYTES bytes and pairs of tokens of a worker, of some 100 to 200 bytes each.
 PIECE_ENTRIES = 5 << 15
+STEM_ENTRIES = 1 << 15
+STEM_BYTES = 5
 PAIR_ENTRIES = 1 << 18
 SLICE = 1 << 19
 #: Characters of a text that are split into matches at a time.
@@ -212,6 +214,7 @@ class Encoder:
         self.vocabulary = Vocabulary(ranks)
         # White space as Unicode defines it, which leaves out the separators U+001C to U+001F.
         self._find = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self._stems: dict[bytes, tuple[int, ...]] = {}
         self._pieces = Memo(self._packed_piece, PIECE_ENTRIES)
 
     def _packed_piece(self, piece: str) -> bytes:
@@ -222,11 +225,13 @@ class Encoder:
         return array("i", PrefixTable(self.vocabulary, data).tokens() if len(data) > 64 else self._short(data)).tobytes()
 
     def _short(self, data: bytes) -> list[int]:
-        """PrefixTable(data).tokens() without the table's calls, as most matches are short."""
+        """PrefixTable(data).tokens() without the table's calls, as most matches are short. Many begin alike,
+        so the entries of their first bytes are remembered."""
         v, size = self.vocabulary, len(data)
         known, pairs, tails = v.ranks.get, v.pairs.get, v.tails.get
-        last: list[int] = []
-        for end in range(1, size + 1):
+        stem = data[:STEM_BYTES]
+        last = list(self._stems.get(stem, ()))
+        for end in range(len(last) + 1, size + 1):
             for length in (tails(data[end - 3 : end]) or tails(data[end - 2 : end]) or (1,)) if end > 2 else (2, 1):
                 if length > end:
                     continue
@@ -245,6 +250,10 @@ class Encoder:
             else:
                 raise ValueError(f"no token ends at byte {end}")
             last.append(token)
+            if end == STEM_BYTES:
+                if len(self._stems) >= STEM_ENTRIES:
+                    self._stems.clear()
+                self._stems[stem] = tuple(last)
         out, end = [], size
         while end:
             token = last[end - 1]
